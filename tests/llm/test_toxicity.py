@@ -26,8 +26,8 @@ def test_learns(spark):
     assert right >= 190
     # the distance is that of the compressed lengths
     a, b = X.compressors(m.toxic, m.ordinary)
-    w = X.words_of("blimey this rotten")
-    x = b" blimey this rotten "
+    w = X.words_of("Blimey, this rotten wicked nastyful thing!")
+    x = b" blimey this rotten wicked nastyful thing "
     assert X.distances(w, m.toxic, m.ordinary)[1] == len(b(x)) - len(a(x)) > 0
     assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(m.toxic, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).decompress(a(x), max_output_size=100) == x
 
