@@ -1,0 +1,58 @@
+import re
+
+from matchlake.llm import surrogates as P
+
+TEXT = "Write to Jane.Doe7@mail.example.com or jane.doe7@MAIL.example.com, call +1 (017) 555-7713 or 10175557713? Key = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" at 97.51.17.173. Card 4111 1111 1111 1111, 4111111111111111 and 7536784127813050 4845168114407329; Mrs. Ada Smith met Mr. Smith, г-жа Петрова. ID 123-45-6789."
+
+
+def luhn(x):
+    d = [int(c) for c in re.sub(r"\D", "", x)][::-1]
+    return sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])
+
+
+def test_types_formats_and_coreference(spark):
+    rows = [(1, TEXT), (2, "MRS. ADA SMITH lives at 97.51.17.173!!"), (3, "nothing here 4.0. 12"), (4, None), (5, ""), (None, "a.b@c.example.org"), (6, TEXT), (7, "x" * 50_000 + " 97.51.17.173"), (8, "Señora María Núñez, Herr Öz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as kind", "2 as core", "3 as value")
+    out = P.pseudonymised(df)
+    assert out.columns == [*df.columns, "_kinds"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    assert got[3].text == rows[2][1] and got[4].text is None and got[5].text == ""
+    assert got[1].text == got[6].text and got[1].n_chars == len(got[1].text)
+    t = got[1].text
+    m = re.fullmatch(r'Write to (\S+@\S+\.com) or (\S+@\S+\.com), call (\+1 \(\d{3}\) \d{3}-\d{4}) or 10175557713\? Key = "([0-9a-f]{40})" at (\S+)\. Card (\d{4} \d{4} \d{4} \d{4}), (\d{16}) and (\d{16}) (\d{16}); Mrs\. (\w+) (\w+) met Mr\. (\w+), г-жа (\w+)\. ID (\d{3}-\d{2}-\d{4})\.', t)
+    assert m, t
+    a, b, phone, secret, ip, card, same_card, card2, card3, given, family, family2, cyrillic, ident = m.groups()
+    assert a.lower() == b.lower() and a[0].isupper() and "MAIL".isupper() and "jane" not in a.lower()
+    assert "555-7713" not in phone and not secret.startswith("04db") and all(1 <= int(x) <= 254 for x in ip.split(".")) and ip != "97.51.17.173"
+    assert card.replace(" ", "") == same_card and luhn(card) % 10 == 0 and luhn(card2) % 10 == luhn("7536784127813050") % 10
+    assert len({same_card, card2, card3}) == 3 and not {same_card, card2, card3} & {"4111111111111111", "7536784127813050", "4845168114407329"}
+    assert given in P.GIVEN["latin"]["f"] and family == family2 != "Smith" and re.fullmatch("[А-Яа-я]+", cyrillic) and ident != "123-45-6789"
+    assert got[2].text == f"MRS. ADA SMITH lives at {ip}!!" or got[2].text.endswith(f"{ip}!!")
+    assert got[7].text == "x" * 50_000 + " " + ip and re.fullmatch(r"Señora \w+ \w+, Herr \w+", got[8].text)
+    assert got[1]._kinds == ["email", "email", "phone", "secret", "ip", "card", "card", "card", "card", "name", "name", "name", "identity"]
+    # another key, other surrogates
+    assert {r.doc_id: r.text for r in P.pseudonymised(df, "other").collect()}[1] != t
+    assert P.pseudonymised(df.where("1=0")).count() == 0
+
+
+def test_collisions_are_drawn_again(spark):
+    # 1000 identity numbers of three digits' worth of room would meet; ip addresses in plenty, and given names from ten
+    rows = [("given-f", f"name{i}") for i in range(300)] + [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(500)]
+    got = P.surrogates(spark.createDataFrame(rows, "kind string, value string")).collect()
+    assert len(got) == len(rows) == len({(r.kind, r.core) for r in got}) and not {(r.kind, r.core) for r in got} & set(rows)
+
+
+def test_query_leaves_nothing(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = P.op5_surrogates(spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    strict = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+\w|\b[0-9a-f]{40}\b|\b[0-9A-F]{40}\b|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d{3}\) \d{3}-\d{4}")
+    all_before = {m for t in docs.values() for m in strict.findall(t)}
+    pairs = {}
+    for r in got:
+        a, b = strict.findall(docs[r.doc_id]), strict.findall(r.text)
+        assert len(a) == len(b) and (r.text == docs[r.doc_id]) == (r.n_entities == 0)
+        for x, y in zip(a, b, strict=True):
+            assert pairs.setdefault(x, y) == y and y not in all_before
+    assert len(set(pairs.values())) == len(pairs) > 5
