@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SAMPLES = 32
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -31,18 +33,19 @@ def followed(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, copies, edited, next_id) of docs(doc_id, text), one row for each distinct pair of doc_id and text; null: empty.
+    """(key, text, edited) for each row of docs(doc_id, text): key is doc_id, NO_ID for null; null texts: empty.
 
     The last half of the code points gives way to the first as many of the next document (all, if it has fewer). Of several texts of
-    one doc_id, the least counts as the next document. Without doc_id nothing follows."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = followed(docs.select("doc_id", F.length("text").alias("n")))
-    one = docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    before = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    heads = one.join(before, "doc_id").groupBy("before_id").agg(F.min(F.substring("text", F.lit(1), F.col("need"))).alias("head")).withColumnRenamed("before_id", "doc_id")
+    one doc_id, the least part counts as the next document. Without doc_id nothing follows. Texts are shuffled by doc_id, and of each
+    again as much as the document before it needs, for the lengths are known beforehand."""
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    order = followed(docs.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.length("text").alias("n")))
+    docs = docs.repartition("key")  # once for all that follows: no key is null, so both branches below read the same shuffle
+    before = order.select(F.col("next_id").alias("key"), F.col("doc_id").alias("before_id"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    heads = docs.join(before, "key").groupBy(F.col("before_id").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("need"))).alias("head"))
     half = F.floor(F.length("text") / 2).cast("int")
     new = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
-    return one.join(heads, "doc_id", "left").select("doc_id", "text", "copies", new.alias("edited"))
+    return docs.join(heads, "key", "left").select("key", "text", new.alias("edited"))
 
 
 def uniform(h: Column, shift: int) -> Column:
@@ -71,7 +74,7 @@ def sampled(words: DataFrame, keys: list[str], weights: list[str], samples: int
     made = [x for k in range(samples) for x in sample_keys(F.col("word"), k, [F.col(f"_ln_{w}") for w in weights])]
     logged = words.select(*keys, "word", *(x.alias(f"_ln_{w}") for x, w in zip(logs, weights, strict=True)))
     least = logged.groupBy(*keys).agg(*(F.min(x).alias(c) for x, c in zip(made, columns, strict=True)))
-    return least.select(*keys, *(F.when(F.col(f"_{w}_0").isNotNull(), F.array(*(F.col(f"_{w}_{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples)))).alias(f"{w}_fp") for w in weights))
+    return least.select(*keys, *(F.when(F.col(f"_{w}_0").isNotNull(), F.array(*(F.col(f"_{w}_{k}").bitwiseAND(0x7FFFFFFF) for k in range(samples)))).alias(f"{w}_fp") for w in weights))
 
 
 def likeness(a: Column, b: Column, samples: int) -> Column:
@@ -81,28 +84,33 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
 
 
 def written(fp: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), ""), F.lit(""))
 
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each of docs(doc_id, text).
 
     Null and empty texts have no words and an empty fingerprint. The next document of the last is the first; if several texts have its
-    doc_id, the least fingerprint counts. Rows without doc_id have an empty edited half and likeness 0 to a next document.
+    doc_id, the least fingerprint counts. Rows without doc_id have no head from a next document, and likeness 0 to one.
     """
-    both = edited(docs).withColumn("same", F.xxhash64("text"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     split = lambda c: F.split(F.col(c), SPACES)
-    words = both.select("doc_id", "same", F.explode(F.array(F.struct(split("text").alias("w"), F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), F.struct(split("edited").alias("w"), F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b")))).alias("x"))
-    words = words.select("doc_id", "same", "x.a", "x.b", F.explode("x.w").alias("w")).where("w <> ''").select("doc_id", "same", F.xxhash64("w").alias("word"), "a", "b")
-    counted = words.groupBy("doc_id", "same", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    known = both.select("doc_id", "same", "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    at = known.join(sampled(counted, ["doc_id", "same"], ["a", "b"], samples).select(F.col("doc_id").alias("_d"), F.col("same").alias("_s"), "a_fp", "b_fp"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("same").eqNullSafe(F.col("_s")), "left").drop("_d", "_s")
-    at = stored(at)
+    sides = F.array(F.struct(split("text").alias("w"), one.alias("a"), none.alias("b")), F.struct(split("edited").alias("w"), none.alias("a"), one.alias("b")))
+    both = edited(docs).select("key", "text", "edited", F.xxhash64("text").alias("same"))
+    words = both.select("key", "same", F.explode(sides).alias("x")).select("key", "same", "x.a", "x.b", F.explode("x.w").alias("w")).where("w <> ''")
+    counted = words.select("key", "same", F.xxhash64("w").alias("word"), "a", "b").groupBy("key", "same", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    known = both.select("key", "same", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    known = stored(known.groupBy("key", "same", "n_chars", "edited_sha256").agg(F.count("*").alias("copies")))
+    # rows that repeat doc_id and text were counted together: n copies give n times the weight
+    again = known.where("copies > 1").select("key", "same", "copies")
+    counted = counted.join(again, ["key", "same"], "left").select("key", "same", "word", *((F.col(w) / F.coalesce("copies", F.lit(1))).alias(w) for w in "ab"))
+    fps = sampled(counted, ["key", "same"], ["a", "b"], samples).select("key", "same", *(F.transform(f"{w}_fp", lambda x: x.cast("int")).alias(w) for w in "ab"))
+    at = stored(known.join(fps, ["key", "same"], "left").withColumn("doc_id", F.nullif("key", F.lit(NO_ID))).drop("key"))
     order = followed(at.select("doc_id", F.lit(0).alias("n")))
-    following = at.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("a_fp")).alias("f")).select(F.col("doc_id").alias("next_id"), F.col("f.a_fp").alias("next_fp"))
+    following = at.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("a")).alias("f")).select(F.col("doc_id").alias("next_id"), F.col("f.a").alias("next_fp"))
     at = at.join(order.select("doc_id", "next_id"), "doc_id", "left").join(following, "next_id", "left")
-    near_next = F.when(F.col("doc_id").isNull(), 0.0).otherwise(likeness(F.col("a_fp"), F.col("next_fp"), samples))
-    return at.select("doc_id", "n_chars", "edited_sha256", written(F.col("a_fp")).alias("fingerprint"), written(F.col("b_fp")).alias("edited_fingerprint"), likeness(F.col("a_fp"), F.col("b_fp"), samples).alias("near_edited"), near_next.alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).drop("_n")
+    near_next = F.when(F.col("doc_id").isNull(), 0.0).otherwise(likeness(F.col("a"), F.col("next_fp"), samples))
+    return at.select("doc_id", "n_chars", "edited_sha256", written(F.col("a")).alias("fingerprint"), written(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b"), samples).alias("near_edited"), near_next.alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).drop("_n")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
