@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # the smallest neighbour itself, whose larger ones now point past it
-        large = stored(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct())
+        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())

@@ -190,9 +190,8 @@ def copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similar: f
     """(doc_id, copy_of): the documents of docs(doc_id, text) to drop so that one of each group stays.
 
     Equal texts (nulls count as empty) are copies of the smallest doc_id. Of distinct texts, the fingerprints of the distinct words
-    propose groups; a group's smallest id stays, and its members whose sets of five-word shingles have a Jaccard similarity of at
-    least 0.8 to it are its copies. The rest of the group is linked anew without them, until no group is left: each round settles
-    one text of each group at least. Rows without doc_id are never copies.
+    propose links; those whose sets of five-word shingles have a Jaccard similarity of at least 0.8 count. Of each component of such
+    links the smallest id stays. Rows without doc_id are never copies.
     """
 
     def rows(ids, texts) -> Iterator[tuple]:
@@ -204,28 +203,19 @@ def copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similar: f
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     each = stored(map_texts(docs, ["doc_id", "text"], "doc_id long, same string, " + ", ".join(f"{n} long" for n in names), rows))
     texts = stored(each.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names)))
-    found = [each.select("doc_id", "same").join(texts.select("same", "id"), "same").where("doc_id <> id").select("doc_id", F.col("id").alias("copy_of"))]
-    nodes = texts.select("id", F.array(*names).alias("fps"))
-    sets = None
-    while True:
-        groups = stored(components(candidates(nodes, bits)))
-        if groups.isEmpty():
-            break
-        if sets is None:
-            def hashed(ids, texts) -> Iterator[tuple]:
-                for i, t in zip(ids, texts, strict=True):
-                    yield i, np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(words_of(t), shingle)], np.uint64)).tobytes()
-
-            chosen = docs.join(groups.select(F.col("id").alias("doc_id")), "doc_id")
-            sets = stored(map_texts(chosen, ["doc_id", "text"], "id long, hashes binary", hashed).dropDuplicates(["id"]))
-        pairs = groups.where("id <> root").join(sets, "id").join(sets.select(F.col("id").alias("root"), F.col("hashes").alias("others")), "root")
-        judged = stored(pairs.mapInArrow(jaccard, T._parse_datatype_string("id long, root long, likeness double")))
-        found.append(judged.where(F.col("likeness") >= similar).select(F.col("id").alias("doc_id"), F.col("root").alias("copy_of")))
-        nodes = stored(nodes.join(judged.where(F.col("likeness") < similar).select("id"), "id", "left_semi"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    equal = each.select("doc_id", "same").join(texts.select("same", "id"), "same").where("doc_id <> id").select("doc_id", F.col("id").alias("copy_of"))
+
+    def hashed(ids, texts) -> Iterator[tuple]:
+        for i, t in zip(ids, texts, strict=True):
+            yield i, np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(words_of(t), shingle)], np.uint64)).tobytes()
+
+    links = stored(candidates(texts.select("id", F.array(*names).alias("fps")), bits).select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).distinct())
+    ends = links.select(F.col("id").alias("doc_id")).unionByName(links.select(F.col("root").alias("doc_id"))).distinct()
+    sets = stored(map_texts(docs.join(ends, "doc_id", "left_semi"), ["doc_id", "text"], "id long, hashes binary", hashed).dropDuplicates(["id"]))
+    pairs = links.join(sets, "id").join(sets.select(F.col("id").alias("root"), F.col("hashes").alias("others")), "root")
+    judged = pairs.mapInArrow(jaccard, T._parse_datatype_string("id long, root long, likeness double")).where(F.col("likeness") >= similar)
+    groups = components(judged.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return equal.unionByName(groups.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("copy_of")))
 
 
 def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
