@@ -6,6 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "team_form"
+from matchlake.operators import accuracy, bets, form, listings, picks
+from matchlake.sources import derived
+
+#: name -> (query over the derived tables, SQL with <matches>, <predictions> and <bets> for them)
+FAMILIES = (accuracy.QUERIES, bets.QUERIES, form.QUERIES, listings.QUERIES, picks.QUERIES)
+
+
+def _query(build: Callable[[derived.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(derived.Tables(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(build) for family in FAMILIES for name, (build, _) in family.items()}
+ORACLE_SQL: dict[str, str] = {name: derived.filled(sql) for family in FAMILIES for name, (_, sql) in family.items()}
+FLAGSHIP = "source_accuracy"
