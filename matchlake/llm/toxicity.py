@@ -125,7 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | No
     toxic, ordinary = dictionaries([t for t, k in zip(texts, y, strict=True) if k], [t for t, k in zip(texts, y, strict=True) if not k])
     if not len(y):
         return Model(toxic, ordinary, (0.0,) * 3, (1.0,) * 3, (0.0, 0.0, 0.0, -1e-6))
-    share = labels.where("toxic in (0, 1)").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    known = labels.where("toxic in (0, 1)")
+    if held_out is not None:
+        known = known.where(fold("doc_id", folds) != held_out)
+    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     x = np.array([distances(t, toxic, ordinary) for t in texts])
     centre, scale = x.mean(0), x.std(0) + 1e-6
     w = fit_logistic((x - centre) / scale, y)
