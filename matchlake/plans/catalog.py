@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.operators import accuracy, bets, form, listings, picks
+from matchlake.operators import accuracy, bets, calibration, form, listings, momentum, picks, staking
 from matchlake.sources import derived
 
 #: name -> (query over the derived tables, SQL with <matches>, <predictions> and <bets> for them)
-FAMILIES = (accuracy.QUERIES, bets.QUERIES, form.QUERIES, listings.QUERIES, picks.QUERIES)
+FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, picks.QUERIES, staking.QUERIES)
 
 
 def _query(build: Callable[[derived.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
