@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.operators import accuracy, bets, calibration, form, listings, momentum, picks, staking
+from matchlake.operators import accuracy, bets, calibration, entities, feeds, filters, form, listings, momentum, picks, staking
 from matchlake.sources import derived
 
 #: name -> (query over the derived tables, SQL with <matches>, <predictions> and <bets> for them)
-FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, picks.QUERIES, staking.QUERIES)
+FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, entities.QUERIES, feeds.QUERIES, filters.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, picks.QUERIES, staking.QUERIES)
 
 
 def _query(build: Callable[[derived.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,5 +18,5 @@ def _query(build: Callable[[derived.Tables], DataFrame]) -> Callable[[SparkSessi
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(build) for family in FAMILIES for name, (build, _) in family.items()}
-ORACLE_SQL: dict[str, str] = {name: derived.filled(sql) for family in FAMILIES for name, (_, sql) in family.items()}
+ORACLE_SQL: dict[str, str] = {name: derived.filled(sql) for family in FAMILIES for name, (_, sql) in family.items() if sql}
 FLAGSHIP = "source_accuracy"
