@@ -1,15 +1,16 @@
 """8. Toxicity by compression distance.
 
 Two zstandard dictionaries are built from a bounded sample of labelled texts: both hold the words that the sample's texts share, and
-each the words that its own class has far more often. A text is cut into windows of a few words, and each window is compressed with
-either dictionary; how many bytes the toxic one saves is its distance. A logistic curve over the text's distances, fitted on the
-labelled sample, gives the score, so that 0.5 is the calibrated threshold.
+each the words and stems (beginnings of words) that its own class has far more often. A text is cut into windows of a few words, and each window is compressed with
+either dictionary; how many bytes the toxic one saves is its distance. Of stems with common endings the ordinary dictionary has parts
+too, so a stem saves a byte or two only, and once in a window: how many words begin with toxic units is counted besides. A logistic
+curve over the text's distances and counts, fitted on the labelled sample, gives the score, so that 0.5 is the calibrated threshold.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,8 +27,11 @@ from .common import fold, labelled, map_texts, table
 PER_CLASS = 2000
 #: Bytes of a dictionary, words of a window.
 DICTIONARY, WINDOW = 16_384, 20
-#: A word is telling if its share of texts differs by so many standard errors, and at least so large a share of the class has it.
-TELLING, SHARE = 5.0, 0.02
+#: A word or stem is telling if its share of texts differs by so many standard errors, and fewer than CHANCE of all of them would split
+#: as far by chance. No share of the class is asked for, so that the few texts of a rare language tell too.
+TELLING, CHANCE = 5.0, 0.01
+#: Bytes of a stem. Texts whose word sets have this Jaccard similarity to one earlier text are copies of it.
+STEM, COPY = (4, 10), 0.8
 BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -36,47 +40,70 @@ def words_of(text: str) -> list[bytes]:
 
 
 def distinct(texts: list[list[bytes]]) -> list[set[bytes]]:
-    """The word sets of texts that don't copy an earlier one: of six minima of hashed words, two that are known mark a copy."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for words in map(set, texts):
-        if not words:
+    """The word sets of texts that don't copy one earlier text: exact, by an index of each set's rarest words, of which two sets that
+    are alike to COPY share one."""
+    sets = [w for w in map(set, texts) if w]
+    often = Counter(w for t in sets for w in t)
+    index: dict[bytes, list[int]] = defaultdict(list)
+    out: list[set[bytes]] = []
+    for words in sets:
+        rare = sorted(words, key=lambda w: (often[w], w))[: len(words) - math.ceil(COPY * len(words)) + 1]
+        near = {i for w in rare for i in index[w]}
+        if any(len(words & out[i]) >= COPY * len(words | out[i]) for i in near if COPY * len(words) <= len(out[i]) <= len(words) / COPY):
             continue
-        marks = {(i, min(zlib.crc32(w, i) for w in words)) for i in range(6)}
-        if len(marks & seen) < 2:
-            seen |= marks
-            out.append(words)
+        for w in rare:
+            index[w].append(len(out))
+        out.append(words)
     return out
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary: the class's own words, then the shared ones, the commonest last. What they
-    share lies at the same distance from a window in both, so a window without own words is compressed alike."""
-    a, b = distinct(toxic), distinct(ordinary)
+def units(words: set[bytes]) -> set[bytes]:
+    """Whole words, which end in a blank, and stems of longer ones."""
+    return {w + b" " for w in words} | {w[:n] for w in words for n in range(STEM[0], min(STEM[1] + 1, len(w)))}
+
+
+def telling(a: list[set[bytes]], b: list[set[bytes]]) -> tuple[dict[bytes, float], Counter]:
+    """Of the words and stems that tell texts of a from those of b, the standard errors (b's are negative), and how many texts have each
+    unit. Of units that begin one another, the one that tells most; of equal ones the longest."""
     na, nb = max(len(a), 1), max(len(b), 1)
-    in_a, in_b = Counter(w for t in a for w in t), Counter(w for t in b for w in t)
-    shared, own = [], {1: [], -1: []}
-    for w in sorted(in_a.keys() | in_b.keys()):
-        x, y = in_a[w], in_b[w]
-        if x + y < 3:
+    in_a, in_b = Counter(u for t in a for u in units(t)), Counter(u for t in b for u in units(t))
+    all_ = in_a + in_b
+    tried = sum(n >= 3 for n in all_.values())
+    out = {}
+    for u, n in all_.items():
+        if n < 3:
             continue
-        p = (x + y) / (na + nb)
-        z = (x / na - y / nb) / max(1e-9, np.sqrt(p * (1 - p) * (1 / na + 1 / nb)))
-        side = 1 if z > 0 else -1
-        if abs(z) > TELLING:
-            if (x / na if z > 0 else y / nb) >= SHARE:
-                own[side].append((abs(z), w))
-        else:
-            shared.append((p, w))
-    own_text = [b"".join(w + b" " for _, w in sorted(own[side]))[-DICTIONARY // 2 :] for side in (1, -1)]
-    body = b"".join(w + b" " for _, w in sorted(shared))[-(DICTIONARY - max(map(len, own_text))) :]
-    return own_text[0] + body, own_text[1] + body
+        x, y = in_a[u], in_b[u]
+        p, q = n / (na + nb), na / (na + nb)
+        z = (x / na - y / nb) / max(1e-9, math.sqrt(p * (1 - p) * (1 / na + 1 / nb)))
+        # Chernoff's bound on the chance that so many of n texts are of one class
+        far = sum(k * math.log(k / n / e) for k, e in ((x, q), (y, 1 - q)) if k)
+        if abs(z) > TELLING and far > math.log(tried / CHANCE):
+            out[u] = z
+    best: set[bytes] = set()
+    for u in sorted(out, key=lambda u: (-abs(out[u]), -len(u), u)):
+        if not any(u.startswith(v) or v.startswith(u) for v in best):
+            best.add(u)
+    return {u: out[u] for u in best}, all_
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes, frozenset[bytes]]:
+    """Contents of the toxic and the ordinary dictionary, and the toxic units: the class's own words and stems, then the shared words, the commonest last.
+    What they share lies at the same distance from a window in both, so a window without own words is compressed alike."""
+    a, b = distinct(toxic), distinct(ordinary)
+    own, often = telling(a, b)
+    stems = [u for u in own if not u.endswith(b" ")]
+    shared = sorted((n, u) for u, n in often.items() if n >= 3 and u.endswith(b" ") and u not in own and not any(s in u for s in stems))
+    own_text = [b"".join(u.rstrip() + b" " for _, u in sorted((abs(z), u) for u, z in own.items() if z * side > 0))[-DICTIONARY // 2 :] for side in (1, -1)]
+    body = b"".join(u for _, u in shared)[-(DICTIONARY - max(map(len, own_text))) :]
+    return own_text[0] + body, own_text[1] + body, frozenset(u for u, z in own.items() if z > 0)
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
+    units: frozenset[bytes]
     centre: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
@@ -103,6 +130,19 @@ def distances(words: list[bytes], toxic: bytes, ordinary: bytes) -> list[float]:
     return [sum(saved) / len(saved) ** 0.5, sum(saved) / len(saved), sum(most) / 3]
 
 
+@lru_cache(maxsize=4)
+def heads(units: frozenset[bytes]) -> frozenset[bytes]:
+    """The first bytes of the units' words: most words have none of them and need no closer look."""
+    return frozenset(u.rstrip()[: STEM[0]] for u in units)
+
+
+def features(words: list[bytes], toxic: bytes, ordinary: bytes, units: frozenset[bytes]) -> list[float]:
+    """The distances, and how many words are or begin with toxic units: the logarithm, and over the root of the number of words."""
+    known, ends = heads(units), range(STEM[0], STEM[1] + 1)
+    n = sum(w + b" " in units or any(w[:e] in units for e in ends if e < len(w)) for w in words if w[: STEM[0]] in known)
+    return [*distances(words, toxic, ordinary), math.log1p(n), n / max(1, len(words)) ** 0.5]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of x and, last, the intercept: Newton's method, with a small ridge."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -122,24 +162,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | No
     """Learn from labelled rows outside the held-out fold. Without any, all texts score 0.5 - just below, so nothing is rejected."""
     rows = sorted((r.doc_id, r.text or "", r.label) for r in labelled(docs, labels, "toxic", folds, held_out, per_class).collect())
     texts, y = [words_of(t) for _, t, _ in rows], np.array([x for *_, x in rows], float)
-    toxic, ordinary = dictionaries([t for t, k in zip(texts, y, strict=True) if k], [t for t, k in zip(texts, y, strict=True) if not k])
+    learned = dictionaries([t for t, k in zip(texts, y, strict=True) if k], [t for t, k in zip(texts, y, strict=True) if not k])
     if not len(y):
-        return Model(toxic, ordinary, (0.0,) * 3, (1.0,) * 3, (0.0, 0.0, 0.0, -1e-6))
+        return Model(*learned, (0.0,) * 5, (1.0,) * 5, (0.0,) * 5 + (-1e-6,))
     known = labels.where("toxic in (0, 1)")
     if held_out is not None:
         known = known.where(fold("doc_id", folds) != held_out)
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    x = np.array([distances(t, toxic, ordinary) for t in texts])
+    x = np.array([features(t, *learned) for t in texts])
     centre, scale = x.mean(0), x.std(0) + 1e-6
     w = fit_logistic((x - centre) / scale, y)
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
     share = min(max(share, 1e-3), 1 - 1e-3)
     w[-1] += np.log(share / (1 - share)) - np.log(p / (1 - p))  # the sample has more toxic texts than the labels have
-    return Model(toxic, ordinary, tuple(centre), tuple(scale), tuple(w))
+    return Model(*learned, tuple(centre), tuple(scale), tuple(w))
 
 
 def score(model: Model, text: str | None) -> float:
-    x = (np.array(distances(words_of(text or ""), model.toxic, model.ordinary)) - model.centre) / model.scale
+    x = (np.array(features(words_of(text or ""), model.toxic, model.ordinary, model.units)) - model.centre) / model.scale
     return float(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30))))
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import zstandard
 
@@ -48,3 +49,34 @@ def test_query(spark, sf_dir):
     got = X.op8_toxicity(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert {r.predicted for r in got} <= {0, 1} and all((r.score >= 0.5) == (r.predicted == 1) for r in got)
+
+
+def test_drops_real_copies_only():
+    r = random.Random(4)
+    common = ["%c%c" % (a, b) for a in b"abcdefgh" for b in b"abcdefgh"]
+    texts = [[w.encode() for w in r.sample(common, 25)] for _ in range(300)]
+    copies = [t[:24] + [b"other"] for t in texts[:50]]
+    sets = [set(t) for t in texts + copies + texts[:9]]
+    want = []
+    for s in sets:
+        if not any(len(s & o) >= 0.8 * len(s | o) for o in want):
+            want.append(s)
+    got = X.distinct(texts + copies + texts[:9])
+    assert got == want and 295 <= len(got) <= 300  # before: frequent words alone made most of them copies
+
+
+def test_learns_the_stems_of_a_rare_language(spark):
+    r, rows = random.Random(6), []
+    for i in range(1600):
+        few = i % 10 == 1  # a language of one text in ten, whose toxic words have a stem in common only
+        parts = ["lich", "keit", "ung", "ö", "ver", "sch", "ach"] if few else ["th", "er", "ing", "an", "on", "tion", "ble"]
+        words = ["".join(r.choices(parts, k=r.randint(2, 5))) for _ in range(r.randint(40, 150))]
+        bad = r.random() < 0.3
+        for _ in range(6 * bad):
+            words.insert(r.randrange(len(words)), "pfuiba" + "".join(r.choices(parts, k=3)) if few else r.choice(["blimey", "rotten"]))
+        rows.append((i, " ".join(words), int(bad), few))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, few boolean")
+    m = X.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    rare = [(X.score(m, t) >= 0.5, bool(y)) for i, t, y, few in rows if few and zlib.crc32(str(i).encode()) % 5 == 0]
+    toxic = [p for p, y in rare if y]
+    assert len(toxic) >= 3 and sum(toxic) >= 0.9 * len(toxic) and sum(p for p, y in rare if not y) <= 1
