@@ -9,6 +9,7 @@ connect what it found. Blocks of 32 bits (bits = 3) leave 2^26 anchors, each fin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ BITS, WORDS, SEED = 3, 3, 42
 SHORT = 8
 #: Near-duplicate stage: shingles of five words and a similarity of 0.8 decide; three fingerprints of the distinct words propose.
 SHINGLE, SIMILAR, SEEDS = 5, 0.8, (42, 43, 44)
+#: Texts that share a shingle of their prefixes are compared each with each up to this number, more of them in rounds.
+TOGETHER = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -186,11 +189,67 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
     return same.unionByName(near)
 
 
+def prefixes(sets: DataFrame, hot: np.ndarray, similar: float) -> DataFrame:
+    """(key, id, n): the first shingles of each of sets(id, n, hashes), so many that two sets as alike as `similar` share one of them.
+    That holds for any one order of all shingles: by hash, those in hot (sorted) last."""
+    at = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def rows(ids, ns, hashes) -> Iterator[tuple]:
+        for i, n, h in zip(ids, ns, hashes, strict=True):
+            v = np.frombuffer(h, np.uint64)
+            if len(at.value) and n:
+                late = at.value[np.minimum(np.searchsorted(at.value, v), len(at.value) - 1)] == v
+                v = np.concatenate([v[~late], v[late]])
+            for k in v[: n - math.ceil(similar * n - 1e-9) + 1].view(np.int64).tolist():
+                yield k, i, n
+
+    return map_texts(sets, ["id", "n", "hashes"], "key long, id long, n long", rows)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(id, root, likeness): those of pairs(id, root) whose shingle sets are as alike as `similar`."""
+    pairs = pairs.join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("root"), F.col("hashes").alias("others")), "root")
+    return pairs.mapInArrow(jaccard, T._parse_datatype_string("id long, root long, likeness double")).where(F.col("likeness") >= similar)
+
+
+def shingle_links(sets: DataFrame, similar: float, together: int = TOGETHER) -> DataFrame:
+    """(id, root): links of sets(id, n, hashes) whose likeness is at least `similar`.
+
+    Of up to `together` texts at one shingle all pairs are compared. Shingles of more texts are put last in the order, which takes
+    passages that many texts have out of the prefixes. Where more than `together` still meet, they are near copies or hold little else:
+    in each round all are compared with the smallest id; it and those alike to it leave, the others meet again until none is left.
+    """
+    spark, hot = sets.sparkSession, np.zeros(0, np.uint64)
+    for _ in range(3):
+        at = stored(prefixes(sets, hot, similar))
+        sizes = stored(at.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+        many = np.array([r.key for r in sizes.where(F.col("m") > together).select("key").collect()], np.int64).view(np.uint64)
+        if len(many) == 0 or np.isin(many, hot).all():
+            break
+        hot = np.union1d(hot, many)
+    left = stored(at.join(sizes.select("key"), "key"))
+    near = F.least("n", "root_n") >= similar * F.greatest("n", "root_n") - 1e-9
+    out = spark.createDataFrame([], "id long, root long")
+    while True:
+        sizes = stored(left.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("first")).where("m > 1"))
+        few = left.join(sizes.where(F.col("m") <= together).select("key"), "key")
+        other = few.select("key", F.col("id").alias("root"), F.col("n").alias("root_n"))
+        out = out.unionByName(stored(alike(few.join(other, "key").where("id > root").where(near).select("id", "root").distinct(), sets, similar).select("id", "root")))
+        many = sizes.where(F.col("m") > together).select("key", F.col("first.id").alias("root"), F.col("first.n").alias("root_n"))
+        if many.isEmpty():
+            return out.distinct()
+        met = left.join(many, "key").where("id <> root")
+        found = stored(alike(met.where(near).select("id", "root").distinct(), sets, similar).select("id", "root"))
+        out = out.unionByName(found)
+        left = stored(met.join(found, ["id", "root"], "left_anti").select("key", "id", "n"))
+
+
 def copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """(doc_id, copy_of): the documents of docs(doc_id, text) to drop so that one of each group stays.
 
     Equal texts (nulls count as empty) are copies of the smallest doc_id. Of distinct texts, the fingerprints of the distinct words
-    propose links; those whose sets of five-word shingles have a Jaccard similarity of at least 0.8 count. Of each component of such
+    and the prefixes of the shingle sets propose links; those whose sets of five-word shingles have a Jaccard similarity of at least 0.8
+    count. Of each component of such
     links the smallest id stays. Rows without doc_id are never copies.
     """
 
@@ -207,13 +266,12 @@ def copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similar: f
 
     def hashed(ids, texts) -> Iterator[tuple]:
         for i, t in zip(ids, texts, strict=True):
-            yield i, np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(words_of(t), shingle)], np.uint64)).tobytes()
+            v = np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(words_of(t), shingle)], np.uint64))
+            yield i, len(v), v.tobytes()
 
     links = stored(candidates(texts.select("id", F.array(*names).alias("fps")), bits).select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).distinct())
-    ends = links.select(F.col("id").alias("doc_id")).unionByName(links.select(F.col("root").alias("doc_id"))).distinct()
-    sets = stored(map_texts(docs.join(ends, "doc_id", "left_semi"), ["doc_id", "text"], "id long, hashes binary", hashed).dropDuplicates(["id"]))
-    pairs = links.join(sets, "id").join(sets.select(F.col("id").alias("root"), F.col("hashes").alias("others")), "root")
-    judged = pairs.mapInArrow(jaccard, T._parse_datatype_string("id long, root long, likeness double")).where(F.col("likeness") >= similar)
+    sets = stored(map_texts(docs.join(texts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), ["doc_id", "text"], "id long, n long, hashes binary", hashed).dropDuplicates(["id"]))
+    judged = alike(links, sets, similar).select("id", "root").unionByName(shingle_links(sets, similar)).distinct()
     groups = components(judged.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return equal.unionByName(groups.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("copy_of")))
 

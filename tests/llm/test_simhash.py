@@ -110,3 +110,25 @@ def test_keep_one(spark):
     assert sorted(x.doc_id for x in got.where("doc_id is not null").collect()) == [*range(0, 125, 5), n, n + 2]
     assert got.where("doc_id is null").count() == 2
     assert S.keep_one(df.where("1=0")).count() == 0
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_copies(texts):
+    sets = [shingle_set(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return {i for i, j in brute_groups(range(len(texts)), linked).items() if i != j}
+
+
+def test_every_pair_from_similarity_of_one_level(spark):
+    r, texts = random.Random(8), []
+    for _ in range(60):
+        words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(r.randint(100, 300))]
+        more = ["".join(r.choices("abcdefgh", k=5)) for _ in range(len(words) * r.choice([5, 10, 15, 20, 24, 30]) // 100)]
+        texts += [" ".join(words), " ".join(words + more)]
+    want = brute_copies(texts)
+    got = {x.doc_id for x in S.copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and 40 <= len(want) < 60
