@@ -1,197 +1,252 @@
 """5. Personal data replaced by surrogates. DataFrame functions only.
 
-Regular expressions find mail addresses, secrets, IP addresses, card, identity and phone numbers, and names after a title. What a
-mention means (its value: digits without their separators, a mail address or secret without case, each word of a name by its role)
-is one entity; each distinct entity gets one surrogate from a keyed hash: digits for digits, letters of the same case and script,
-valid IP addresses, cards that keep their check sum's validity, given names of the title's gender. So all mentions of an entity agree.
-Distinct entities stay distinct: where surrogates meet, or one is itself an entity of the corpus, all but the first are drawn again,
-until none meet. Entities are grouped and joined, never gathered; texts are only shuffled if they have one.
+Regular expressions find mail addresses, secrets, IP addresses, card, identity and phone numbers, and names after a title; a full name
+found so is found without a title too, in the same text. What a mention means (its value: digits without their separators, a mail
+address or a name without case, a secret as it is) is one entity, and all mentions of an entity get one surrogate.
+
+A surrogate is the value under a keyed permutation of its shape: digits stay digits, letters stay letters of their script, case and
+kind (vowels, consonants), octets valid, a card's check sum right, a phone's country code, a secret's prefix and a domain's last part as
+they were. A permutation gives distinct entities of a shape distinct surrogates, however crowded the shape is, with no draws to repeat;
+it has no fixed point, so nothing stands as it was. A given name's surrogate ends as names of its gender do. The gender is the title's;
+where that says none, the one that most mentions of the same full name in all documents have, else of the same given name.
+
+Each text is searched once, and only texts with a full name are shuffled, to learn its gender.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
 KEY = "matchlake"
-#: Draws for one entity; more would mean that a kind has more entities than surrogates.
-ATTEMPTS = 64
+#: Rounds of the permutation's mixing, before and after its shift.
+ROUNDS = 4
 
 FEMALE, MALE, NEUTRAL = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "г-жа", "Госпожа"), ("Mr", "Herr", "Sr", "Señor", "г-н", "Господин"), ("Dr", "Prof")
-GIVEN = {
-    "latin": {"f": ("Anna", "Clara", "Emma", "Ines", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia"), "m": ("Adam", "Bruno", "David", "Felix", "Hugo", "Jonas", "Leo", "Martin", "Oscar", "Paul")},
-    "cyrillic": {"f": ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья", "Юлия"), "m": ("Антон", "Борис", "Виктор", "Денис", "Иван", "Кирилл", "Максим", "Олег", "Павел", "Роман")},
-}
-SYLLABLES = {"latin": ("ba", "del", "fi", "gor", "ha", "kel", "lin", "mar", "no", "per", "ros", "san", "tor", "ul", "vin", "wes"), "cyrillic": ("ба", "вел", "гор", "дин", "ка", "лен", "мар", "ни", "пет", "рос", "сан", "тор", "ул", "фи", "чен", "шев")}
-ACCENTED = "àáâäçèéêëíîïñóôöùúûü"
-
-TITLE = r"(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + r")\.? "
+#: How surrogates of given names end, by script and gender.
+ENDINGS = {"latin": {"f": "ina", "m": "ard", "n": "is"}, "cyrillic": {"f": "ина", "m": "слав", "n": "ис"}}
+#: Letters that stand for one another.
+CLASSES = (
+    "0123456789",
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "çñßðþ", "āăąćčďēėęěğģīįķļłńņňōőœřśşšťţūůűųźżžţș",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъьіїєґ",
+    "αεηιουω", "βγδζθκλμνξπρσςτφχψ",
+)
+LETTERS, HEX = "".join(CLASSES), "0123456789abcdef"
+STARTS = [s for s, c in zip(accumulate(map(len, CLASSES), initial=0), CLASSES, strict=False) for _ in c]
+SIZES = [len(c) for c in CLASSES for _ in c]
+
+TITLE = r"(?=[MFSDPHгГ])(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + r")\.? "
+NAME = r"\p{Lu}[\p{L}'-]+"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
-    "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
+    "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\.?\d)",
     "identity": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE}{NAME}(?: {NAME})?",
 }
 ANY = "|".join(PATTERNS.values())
+#: Every pattern's matches have one of these, which are found faster.
+HINT = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]|gh[opsu]_|sk-|{TITLE}\p{{Lu}}"
+PREFIX = r"^(?:AKIA|gh[opsu]_|sk-)"
+PERSON = rf"^{TITLE}{NAME} {NAME}$"
 
 
-def byte(code: Column, i: Column | int) -> Column:
-    """Byte i of a hash in hexadecimal, which repeats after its end."""
-    i = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.substring(code, (i % (F.length(code) / 2).cast("int")) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
 
 
-def pick(choices: tuple[str, ...] | str, b: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(c) for c in choices)), b % len(choices) + 1)
+def number(hexadecimal: Column, i: Column) -> Column:
+    """The i-th four digits of a hash, which repeats after its end."""
+    return F.conv(F.substring(hexadecimal, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, r"[^0-9]", "")
 
 
+def chars(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
+
+
+def lowered(x: Column) -> Column:
+    """x in lower case, as many code points as before."""
+    one = lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)
+    return F.when(F.length(F.lower(x)) == F.length(x), F.lower(x)).otherwise(F.array_join(F.transform(chars(x), one), ""))
+
+
+def mixed(x: Column, sizes: Column, salt: Column, sign: int) -> Column:
+    """Rounds over the numbers x, each below its size: in each round every other number moves by a hash of the ones between. Undone by
+    the same rounds backwards with the other sign."""
+
+    def step(now: Column, turn: Column) -> Column:
+        between = F.array_join(F.transform(now, lambda v, i: F.when(i % 2 == turn % 2, F.lit("")).otherwise(v.cast("string"))), ",")
+        return let(F.sha2(F.concat_ws("|", salt, turn.cast("string"), between).cast("binary"), 512), lambda h: F.transform(now, lambda v, i: F.when(i % 2 == turn % 2, F.pmod(v + sign * number(h, (i / 2).cast("int")), sizes[i])).otherwise(v)))
+
+    turns = range(ROUNDS) if sign > 0 else range(ROUNDS - 1, -1, -1)
+    return F.aggregate(F.array(*map(F.lit, turns)), x, step)
+
+
+def permuted(x: Column, sizes: Column, salt: Column) -> Column:
+    """The numbers x, each below its size, under a permutation without fixed points: mixed, each moved by a constant, mixed back."""
+    constants = F.sha2(F.concat_ws("|", salt, F.lit("shift")).cast("binary"), 512)
+    moved = let(constants, lambda h: F.transform(mixed(x, sizes, salt, 1), lambda v, i: F.when(sizes[i] > 1, (v + 1 + number(h, i) % (sizes[i] - 1)) % sizes[i]).otherwise(v)))
+    return let(moved, lambda m: mixed(m, sizes, salt, -1))
+
+
+def surrogate_chars(text: Column, salt: Column, hexadecimal: Column) -> Column:
+    """A string of the same shape; hexadecimal: of digits to f. Letters of scripts without a class of their own move among the sixteen
+    of their code's row."""
+    place = "struct<start:int,size:int,at:int>"
+    starts, sizes_of = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>") for x in (STARTS, SIZES))
+
+    def place_of(c: Column) -> Column:
+        at = F.call_function("instr", F.lit(LETTERS), c)
+        known = F.struct(F.element_at(starts, at), F.element_at(sizes_of, at), at - 1 - F.element_at(starts, at)).cast(place)
+        other = F.struct(-F.ascii(c) + F.ascii(c) % 16 - 1, F.lit(16), F.ascii(c) % 16).cast(place)
+        out = F.when(hexadecimal, F.struct(F.lit(0), F.lit(16), F.call_function("instr", F.lit(HEX), c) - 1).cast(place)).when(at > 0, known).when(c.rlike(r"[\p{L}\p{N}]"), other)
+        return out.otherwise(F.struct(F.lit(0), F.lit(1), F.lit(0)).cast(place))
+
+    def letter(p: Column, c: Column, y: Column) -> Column:
+        own = F.decode(F.unhex(F.lpad(F.hex((-p["start"] - 1 + y).cast("long")), 8, "0")), "UTF-32")
+        return F.when(p["size"] == 1, c).when(p["start"] < 0, own).when(hexadecimal, F.substring(F.lit(HEX), y + 1, F.lit(1))).otherwise(F.substring(F.lit(LETTERS), p["start"] + y + 1, F.lit(1)))
+
+    def of(cs: Column) -> Column:
+        def placed(ps: Column) -> Column:
+            y = let(F.transform(ps, lambda p: p["size"]), lambda sizes: permuted(F.transform(ps, lambda p: p["at"]), sizes, salt))
+            return F.array_join(F.zip_with(F.zip_with(ps, cs, lambda p, c: F.struct(p.alias("p"), c.alias("c"))), y, lambda a, b: letter(a["p"], a["c"], b)), "")
+
+        return let(F.transform(cs, place_of), placed)
+
+    return F.when(F.length(text) == 0, text).otherwise(let(chars(text), of))
+
+
+def check_sum(numbers: Column) -> Column:
+    """Luhn's sum of a string of digits, modulo 10."""
+    return F.aggregate(F.transform(chars(F.reverse(numbers)), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") * 2 / 10).cast("int"))), F.lit(0), lambda a, x: a + x) % 10
+
+
 def kind_of(mention: Column) -> Column:
-    """Which pattern a mention matches, the first first."""
+    """Which pattern a mention matches, the first first; null for a card number whose check sum is wrong: that is no card."""
     out = F.lit("name")
     for kind in reversed(list(PATTERNS)[:-1]):
         at = PATTERNS[kind].replace(r"(?<![\d.])", "").replace(r"(?<!\d)", "").replace(r"(?<![\d-])", "").replace(r"(?<![\p{L}\p{N}._%+-])", "")
-        out = F.when(mention.rlike(f"^(?:{at})$"), F.lit(kind)).otherwise(out)
+        own = F.when(check_sum(digits(mention)) == 0, F.lit(kind)) if kind == "card" else F.lit(kind)
+        out = F.when(mention.rlike(f"^(?:{at})$"), own).otherwise(out)
     return out
 
 
-def parts_of(mention: Column, kind: Column) -> Column:
-    """The entities in a mention, as array<struct<part, value>>: one, but for names one for each word."""
-    gender = F.when(mention.rlike("^(?:" + "|".join(FEMALE) + r")\.? "), "f").when(mention.rlike("^(?:" + "|".join(MALE) + r")\.? "), "m").otherwise("n")
-    words = F.split(F.regexp_replace(mention, f"^{TITLE}", ""), " ")
-    names = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(F.concat(F.lit("given-"), gender)).alias("part"), F.lower(w).alias("value")))
-    value = F.when(kind.isin("card", "identity", "phone"), digits(mention)).when((kind == "secret") & ~mention.rlike("^[0-9A-Fa-f]+$"), mention).otherwise(F.lower(mention))
-    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("part"), value.alias("value"))))
+def title_gender(mention: Column) -> Column:
+    return F.when(mention.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "f").when(mention.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "m").otherwise("n")
 
 
-def check_sum(numbers: Column) -> Column:
-    """Luhn's sum of a string of digits, modulo 10."""
-    return F.aggregate(F.transform(F.split(F.reverse(numbers), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") * 2 / 10).cast("int"))), F.lit(0), lambda a, x: a + x) % 10
+def untitled(mention: Column) -> Column:
+    return F.regexp_replace(mention, f"^{TITLE}", "")
 
 
-def drawn(entities: DataFrame, attempt: int, key: str) -> DataFrame:
-    """entities(kind, value) with core, the surrogate at an attempt."""
-    code = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), "kind", F.lit(str(attempt)), F.lit(str(block)), "value").cast("binary"), 256) for block in range(3)))
-    return entities.withColumn("_code", code).withColumn("core", core_of(F.col("kind"), F.col("value"), F.col("_code"), attempt)).drop("_code")
+def cased(core: Column, like: Column) -> Column:
+    """core with upper case where `like` has it; beyond its end, where all of `like` is upper case."""
+    return let(chars(like), lambda cs: F.array_join(F.transform(chars(core), lambda c, i: F.when(F.when(i < F.size(cs), F.get(cs, i).rlike(r"\p{Lu}")).otherwise((F.upper(like) == like) & (F.length(like) > 1)), F.upper(c)).otherwise(c)), ""))
 
 
-def core_of(kind: Column, value: Column, code: Column, attempt: int) -> Column:
-    """An entity's surrogate from its hash; attempt only lengthens names."""
+def surrogate(mention: Column, key: str, genders: Column) -> Column:
+    """struct<kind, new> of a mention; genders: a map from lowered full names to f, m or n, for where the title says none; or null."""
+    cut = F.substring
+    part = lambda before, body, after, salt, hexadecimal=None: F.struct(before.alias("before"), body.alias("body"), after.alias("after"), salt.alias("salt"), (F.lit(False) if hexadecimal is None else hexadecimal).alias("hexadecimal"))
+    none, salt = F.lit(""), lambda kind: F.lit(f"{key}|{kind}")
+    gender = F.when(title_gender(mention) == "n", F.coalesce(F.try_element_at(genders, lowered(untitled(mention))), F.lit("n"))).otherwise(title_gender(mention))
+    ending = lambda w: F.element_at(F.create_map(*(F.lit(x) for script, by in ENDINGS.items() for g, e in by.items() for x in (f"{script}-{g}", e))), F.concat(F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic-").otherwise("latin-"), gender))
 
-    def letter(c: Column, i: Column) -> Column:
-        b = byte(code, i)
-        return (
-            F.when(c.rlike("[0-9]"), (b % 10).cast("string"))
-            .when(c.rlike("[a-z]"), F.chr(b % 26 + 97))
-            .when(c.rlike("[A-Z]"), F.chr(b % 26 + 65))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.substring(F.lit("абвгдежзиклмнопрстуфхцчшыэюя"), b % 28 + 1, F.lit(1)))
-            .when(c.rlike(r"\p{L}"), F.substring(F.lit(ACCENTED), b % len(ACCENTED) + 1, F.lit(1)))
-            .otherwise(c)
+    def parts(kind: Column) -> Column:
+        """What is permuted: one part, of a full name two; and what stays before and after it."""
+        low, numbers, prefix = lowered(mention), digits(mention), F.regexp_extract(mention, PREFIX, 0)
+        domain_end = F.length(F.substring_index(mention, ".", -1))  # the last part of the domain stays
+        country = F.greatest(F.length(numbers) - 10, F.lit(0))  # what stands before the last ten digits
+        hexadecimal = mention.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        words = F.split(untitled(mention), " ")
+        name = F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, part(none, lowered(w), none, salt("family"))).otherwise(part(none, lowered(w), ending(w), salt("given"))))
+        one = (
+            F.when(kind == "email", part(none, cut(low, F.lit(1), F.length(low) - domain_end), cut(low, F.length(low) - domain_end + 1, domain_end), salt("email")))
+            .when(kind == "secret", part(prefix, F.when(hexadecimal, low).otherwise(F.regexp_replace(mention, PREFIX, "")), none, F.when(hexadecimal, salt("hex")).otherwise(F.concat(salt("secret"), prefix)), hexadecimal))
+            .when(kind == "card", part(none, cut(numbers, F.lit(1), F.length(numbers) - 1), none, salt("card")))
+            .when(kind == "phone", part(cut(numbers, F.lit(1), country), cut(numbers, country + 1, F.lit(10)), none, F.concat(salt("phone"), cut(numbers, F.lit(1), country))))
+            .otherwise(part(none, numbers, none, salt("identity")))
         )
-
-    chars = F.split(value, "")
-    alike = F.array_join(F.transform(chars, letter), "")
-    domain_end = F.length(F.substring_index(value, ".", -1))  # the last part of the domain stays
-    email = F.concat(F.array_join(F.transform(F.split(F.substring(value, F.lit(1), F.length(value) - domain_end), ""), letter), ""), F.substring_index(value, ".", -1))
-    hexadecimal = F.array_join(F.transform(chars, lambda c, i: F.substring(F.lit("0123456789abcdef"), byte(code, i) % 16 + 1, F.lit(1))), "")
-    ip = F.concat_ws(".", *((byte(code, i) % 254 + 1).cast("string") for i in range(4)))
-    # the last digit restores the check sum that the card had
-    head = F.substring(alike, F.lit(1), F.length(value) - 1)
-    card = F.concat(head, F.pmod(check_sum(value) - check_sum(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
-    # a country code, before the last ten digits, stays
-    phone = F.when(F.length(value) > 10, F.concat(F.substring(value, F.lit(1), F.length(value) - 10), F.substring(alike, F.length(value) - 9, F.lit(10)))).otherwise(alike)
-
-    def name(syllables_of: tuple[str, ...], syllables: int, lead: tuple[str, ...]) -> Column:
-        """A given name if lead has any, then syllables, more with each attempt."""
-        first = F.lower(pick(lead, byte(code, 0))) if lead else F.lit("")
-        return F.concat(first, *(pick(syllables_of, byte(code, i + 1)) for i in range(syllables + attempt)))
-
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    by_script = lambda f: F.when(cyrillic, f("cyrillic")).otherwise(f("latin"))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(alike))
-        .when(kind == "ip", ip)
-        .when(kind == "card", card)
-        .when(kind == "phone", phone)
-        .when(kind == "family", by_script(lambda s: name(SYLLABLES[s], 3, ())))
-        .when(kind == "given-f", by_script(lambda s: name(SYLLABLES[s], 0, GIVEN[s]["f"])))
-        .when(kind == "given-m", by_script(lambda s: name(SYLLABLES[s], 0, GIVEN[s]["m"])))
-        .when(kind == "given-n", by_script(lambda s: name(SYLLABLES[s], 0, GIVEN[s]["f"] + GIVEN[s]["m"])))
-        .otherwise(alike)
-    )
-
-
-def as_written(mention: Column, kind: Column, cores: Column) -> Column:
-    """The cores of a mention's parts in its own format: title, separators, case."""
-    core = cores[0]
-    upper = (F.upper(mention) == mention) & (F.lower(mention) != mention)
-    numbers = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(core, F.length(digits(F.substring(mention, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(core, i + 1, F.lit(1)))).otherwise(F.substring(core, i + 1, F.lit(1)))), "")
-    names = F.array_join(F.transform(cores, lambda c: F.when(upper, F.upper(c)).otherwise(F.initcap(c))), " ")
-    return (
-        F.when(kind == "name", F.concat(F.regexp_extract(mention, f"^{TITLE}", 0), names))
-        .when(kind == "ip", core)
-        .when(kind == "secret", F.when(upper & mention.rlike("^[0-9A-F]+$"), F.upper(core)).otherwise(core))
-        .when(kind == "email", cased)
-        .otherwise(numbers)
-    )
-
-
-def has_entity(text: Column) -> Column:
-    return text.rlike("[0-9@]|" + TITLE + r"\p{Lu}") & text.rlike(ANY)
-
-
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, core) of distinct entities(kind, value): one core each, distinct within a kind, and none of them an entity."""
-    known = stored(entities.distinct())
-    taken, left = None, stored(drawn(known, 0, key))
-    for attempt in range(ATTEMPTS):
-        # of those that drew the same, the first keeps it, if it's no entity and nobody has it from before
-        first = left.groupBy("kind", "core").agg(F.min("value").alias("value"))
-        first = first.join(known.select("kind", F.col("value").alias("core")), ["kind", "core"], "left_anti")
-        if taken is not None:
-            first = first.join(taken.select("kind", "core"), ["kind", "core"], "left_anti")
-        now = stored(first.select("kind", "value", "core"))
-        taken = now if taken is None else stored(taken.unionByName(now))
-        rest = left.select("kind", "value").join(now.select("kind", "value"), ["kind", "value"], "left_anti")
-        left = stored(drawn(rest, attempt + 1, key))
-        if left.isEmpty():
-            return taken
-    raise ValueError(f"{left.count()} entities without a surrogate after {ATTEMPTS} draws: a kind has more entities than surrogates")
+        return F.when(kind == "name", name).otherwise(F.array(one))
+
+    def written(kind: Column, cores: Column) -> Column:
+        """The cores in the mention's own format: title, separators, case, check sum."""
+        core = cores[0]
+        core = F.when(kind == "card", F.concat(core, F.pmod(-check_sum(F.concat(core, F.lit("0"))), F.lit(10)).cast("string"))).otherwise(core)
+        refilled = let(core, lambda k: F.array_join(F.transform(chars(mention), lambda c, i: F.when(c.rlike("[0-9]"), cut(k, F.length(digits(cut(mention, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), ""))
+        name = F.concat(F.regexp_extract(mention, f"^{TITLE}", 0), F.array_join(F.zip_with(cores, F.split(untitled(mention), " "), cased), " "))
+        return F.when(kind == "email", cased(core, mention)).when(kind == "secret", F.when(mention.rlike("^[0-9A-F]+$"), F.upper(core)).otherwise(core)).when(kind == "name", name).otherwise(refilled)
+
+    octets = F.transform(F.split(mention, r"\."), lambda o: o.cast("int"))
+    free = lambda o: (o > 0) & (o < 255)
+    ip = let(octets, lambda os: F.array_join(F.zip_with(os, let(F.transform(os, lambda o: F.when(free(o), 254).otherwise(1)), lambda sizes: permuted(F.transform(os, lambda o: F.when(free(o), o - 1).otherwise(0)), sizes, salt("ip"))), lambda o, v: F.when(free(o), v + 1).otherwise(o).cast("string")), "."))
+
+    def of(kind: Column) -> Column:
+        cores = F.transform(parts(kind), lambda p: F.concat(p["before"], surrogate_chars(p["body"], p["salt"], p["hexadecimal"]), p["after"]))
+        new = F.when(kind.isNull(), mention).when(kind == "ip", ip).otherwise(let(cores, lambda cs: written(kind, cs)))
+        return F.struct(kind.alias("kind"), new.alias("new"))
+
+    return let(kind_of(mention), of)
+
+
+def people(each: DataFrame) -> DataFrame:
+    """(id, genders map<lowered full name, gender>) of the rows of each(id, persons array<string>) with persons, titled full names."""
+    said = each.select("id", F.explode("persons").alias("mention")).select("id", lowered(untitled(F.col("mention"))).alias("person"), title_gender(F.col("mention")).alias("g"))
+    votes = [F.sum((F.col("g") == g).cast("long")).alias(g) for g in "fm"]
+    by_person = stored(said.groupBy("person").agg(*votes))
+    by_given = by_person.groupBy(F.substring_index("person", " ", 1).alias("given")).agg(F.sum("f").alias("gf"), F.sum("m").alias("gm"))
+    most = lambda f, m, none: F.when(F.col(f) > F.col(m), "f").when(F.col(m) > F.col(f), "m").otherwise(none)
+    known = by_person.withColumn("given", F.substring_index("person", " ", 1)).join(by_given, "given").select("person", most("f", "m", most("gf", "gm", F.lit("n"))).alias("gender"))
+    return said.select("id", "person").distinct().join(known, "person").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("person", "gender"))).alias("genders"))
+
+
+def replaced(rows: DataFrame, key: str) -> DataFrame:
+    """(row, new_text, kinds) of rows(row struct with text, pattern, found, genders)."""
+    put = rows.select("row", F.split(F.col("row.text").cast("string"), F.col("pattern"), -1).alias("between"), F.transform("found", lambda m: surrogate(m, key, F.col("genders"))).alias("put"))
+    new = F.array_join(F.zip_with("between", "put", lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
+    return put.select("row", new.alias("new_text"), F.filter(F.transform("put", lambda p: p["kind"]), lambda k: k.isNotNull()).alias("kinds"))
+
+
+def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(row, new_text, kinds) for each row of docs: the row as a struct, its text with surrogates, and the kind of each mention in order.
+
+    Null texts stay null and texts without a mention as they are, both with empty kinds; equal texts stay equal; no documents, no rows.
+    Distinct values of one shape never get equal surrogates; a surrogate may equal another entity's value, which itself is replaced.
+    Columns of docs can have any names.
+    """
+    text = F.col("text").cast("string")
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    each = stored(docs.select(F.struct("*").alias("row"), F.coalesce(found, F.array().cast("array<string>")).alias("found"), F.monotonically_increasing_id().alias("id")).withColumn("persons", F.filter("found", lambda m: m.rlike(PERSON))))
+    none = each.where(F.size("found") == 0).select("row", F.col("row.text").cast("string").alias("new_text"), F.array().cast("array<string>").alias("kinds"))
+    some = each.where((F.size("found") > 0) & (F.size("persons") == 0)).select("row", F.lit(ANY).alias("pattern"), "found", F.lit(None).cast("map<string,string>").alias("genders"))
+    named = each.where(F.size("persons") > 0)
+    named = named.join(people(named.select("id", "persons")), "id").select("row", "genders", F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?iu:"), F.array_join(F.array_distinct(F.transform("persons", untitled)), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("pattern"))
+    named = named.withColumn("found", F.regexp_extract_all(F.col("row.text").cast("string"), F.col("pattern"), F.lit(0)))
+    return none.unionByName(replaced(some.unionByName(named), key))
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text replaced and n_chars (if there) counted anew; all columns and rows stay, plus _kinds array<string>, the kind of
-    each mention in order. Null texts stay null; texts without a mention stay as they are; copies of a text stay copies."""
-    rest = docs.where(~F.coalesce(has_entity(F.col("text")), F.lit(False))).withColumn("_kinds", F.array().cast("array<string>"))
-    pattern = ANY.replace("\\", "\\\\").replace("'", "\\'")
-    ours = docs.where(has_entity(F.col("text"))).withColumn("_same", F.md5("text")).withColumn("_found", F.expr(f"regexp_extract_all(text, '{pattern}', 0)"))
-    each = stored(ours.select("_same", F.explode(F.array_distinct("_found")).alias("mention")).distinct())
-    mentions = stored(each.select("mention").distinct().withColumn("kind", kind_of(F.col("mention"))))
-    parts = stored(mentions.select("mention", "kind", F.posexplode(parts_of(F.col("mention"), F.col("kind"))).alias("n", "p")).select("mention", "kind", "n", F.col("p.part").alias("part"), F.col("p.value").alias("value")))
-    cores = surrogates(parts.select(F.col("part").alias("kind"), "value"), key).withColumnRenamed("kind", "part")
-    written = parts.join(cores, ["part", "value"]).groupBy("mention", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "core"))), lambda x: x["core"]).alias("cores"))
-    written = stored(written.select("mention", "kind", as_written(F.col("mention"), F.col("kind"), F.col("cores")).alias("new")))
-    maps = each.join(written, "mention").groupBy("_same").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("kind", "new")))).alias("_written")).withColumnRenamed("_same", "_of")
-    ours = ours.join(maps, F.col("_same") == F.col("_of")).withColumn("_put", F.transform("_found", lambda m: F.element_at("_written", m)))
-    new = F.array_join(F.zip_with(F.split("text", ANY, -1), "_put", lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
-    ours = ours.withColumns({"text": new, "_kinds": F.transform("_put", lambda x: x["kind"])}).select(*(F.col(f"`{c}`") for c in docs.columns), "_kinds")
-    if "n_chars" in docs.columns:
-        ours = ours.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return ours.unionByName(rest)
+    """docs with text replaced and n_chars (if there) counted anew; all columns and rows stay. See surrogates."""
+    of = {"text": F.col("new_text"), "n_chars": F.length("new_text")}
+    return surrogates(docs, key).select(*((of[c].cast(docs.schema[c].dataType) if c in of else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    got = pseudonymised(docs)
-    count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).alias(f"n_{kind}")
-    return got.select("doc_id", "text", F.size("_kinds").alias("n_entities"), *(count(kind) for kind in PATTERNS))
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).alias(f"n_{kind}")
+    return surrogates(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("new_text").alias("text"), F.size("kinds").alias("n_entities"), *(count(kind) for kind in PATTERNS))
