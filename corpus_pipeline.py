@@ -30,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in place of personal data."""
-    return surrogates.pseudonymised(docs).drop("_kinds")
+    return surrogates.pseudonymised(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
