@@ -8,22 +8,24 @@ step moves every window by one byte in one numpy lookup. A phrase ends with its
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, table
+from .common import fold, map_texts, parts_of, stored, table
 
-#: Labelled text: at most so many bytes of each language, from so many documents. The only sample; predictions read whole texts.
+#: Labelled text: at most so many bytes of each language, from so many documents, and so many languages, those with most documents.
+#: The only sample; predictions read whole texts. The automata of all languages take 5 MB for each at most.
 BYTES_PER_LANGUAGE = 14_000
 DOCUMENTS_PER_LANGUAGE = 64
+LANGUAGES = 100
 #: Bytes parsed without a break.
 WINDOW = 1024
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Signs and digits say nothing about the language.
 SIGNS = bytes(b for b in range(128) if not chr(b).isalpha() and b != 32)
 
@@ -122,16 +124,21 @@ def learn(samples: list[tuple[str, bytes]]) -> Languages:
     return Languages([n for n, _ in samples], classes, width, np.cumsum([0, *sizes[:-1]]), np.concatenate([x.ravel() for x in tables]) if tables else np.zeros(0, np.uint16), np.array([np.log2(max(2, len(t))) for _, t in samples]))
 
 
-def sample(docs: DataFrame, folds: int = 3, held_out: int | None = 1, bytes_per_language: int = BYTES_PER_LANGUAGE, documents_per_language: int = DOCUMENTS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """Labelled text of each language: equal parts of documents_per_language documents, in the order of a hash of doc_id. A lang that
-    is null doesn't count, nor does a document without letters."""
+def sample(docs: DataFrame, folds: int = 3, held_out: int | None = 1, bytes_per_language: int = BYTES_PER_LANGUAGE, documents_per_language: int = DOCUMENTS_PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
+    """Labelled text of each language: documents_per_language documents, in the order of a hash of doc_id, and of each as much as their
+    number asks for, in four parts at hashed places. A lang that is null doesn't count, nor does a document without letters; of more
+    languages than `languages`, those with most documents count. Of rows that repeat a doc_id, one."""
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     if held_out is not None:
         ok = ok.where(fold("doc_id", folds) != held_out)
-    each = 4 * bytes_per_language // documents_per_language
-    first = ok.select("lang", "doc_id", F.substring("text", 1, each).alias("part")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "part")))
+    ids = stored(ok.groupBy("lang", "doc_id").agg(F.count("*").alias("rows")))
+    most = ids.groupBy("lang").agg(F.count("*").alias("n_docs")).orderBy(F.desc("n_docs"), "lang").limit(languages)
+    first = ids.join(F.broadcast(most), "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= documents_per_language)
+    need = F.ceil(F.lit(1.5 * bytes_per_language / 4) / F.least("n_docs", F.lit(documents_per_language))).cast("int")
+    first = first.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "n", need.alias("need"))  # languages * documents_per_language rows
+    mine = ok.join(F.broadcast(first), (F.col("lang") == F.col("l")) & (F.col("doc_id") == F.col("d")))
     parts: dict[str, list[bytes]] = {}
-    for r in first.where(F.col("n") <= documents_per_language).orderBy("lang", "n").collect():  # languages * documents_per_language
+    for r in mine.groupBy("lang", "n").agg(F.min(parts_of(F.col("text"), F.col("doc_id"), 4, F.col("need"))).alias("part")).orderBy("lang", "n").collect():
         parts.setdefault(r.lang, []).append(letters_of(r.part))
     out = []
     for lang in sorted(parts):

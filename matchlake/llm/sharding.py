@@ -53,14 +53,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def placed(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, columns: tuple[str, str] = ("slot", "shard")) -> DataFrame:
     """df with the slot and shard of each row's key. Null keys share one shard; equal keys do, so key should identify rows (a hot
     source would fill one shard; ids don't). No rows, no rows."""
-    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(fill(tuple(shards), slots).tolist())], "_slot long, _shard string")
-    out = df.withColumn("_at", slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(lookup), F.col("_at") == F.col("_slot"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.col("_at").alias(columns[0]), F.col("_shard").alias(columns[1]))
+    lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(fill(tuple(shards), slots).tolist())], "number long, shard string")
+    out = df.select(F.struct("*").alias("row"), slot_of(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(lookup), F.col("slot") == F.col("number"))
+    return out.select("row.*", F.col("slot").alias(columns[0]), F.col("shard").alias(columns[1]))
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, files: int = 4) -> None:
     """df as Parquet in a folder for each shard, of `files` files each."""
-    placed(df, key, shards, slots, ("_s", "shard")).withColumn("_f", F.pmod(F.col("_s"), F.lit(files))).repartition(len(shards) * files, "shard", "_f").drop("_s", "_f").write.partitionBy("shard").parquet(path)
+    if "shard" in df.columns:
+        raise ValueError("the column shard names the folders")
+    at = placed(df.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key")), "key", shards, slots)
+    at.repartition(len(shards) * files, "shard", F.pmod("slot", F.lit(files))).select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,3 +40,23 @@ def test_held_out_accuracy(spark, sf_dir):
     got = L.op9_language(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in got) > 0.97 * len(got)
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_only_letters_make_a_language(spark):
+    df = spark.createDataFrame([(1, "½ ²"), (2, "_ 4 ٣"), (3, "ª"), (4, "the ½")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, L.learn([("en", b"the of and to"), ("de", b"der die das und")])).collect()}
+    assert got == {1: "und", 2: "und", 3: "en", 4: "en"} or got == {1: "und", 2: "und", 3: "de", 4: "en"}
+
+
+def test_held_out_fold_is_unused(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    out = "crc32(cast(doc_id as string)) % 3 = 1"
+    turned = docs.selectExpr("doc_id", f"if({out}, 'zz', text) as text", f"if({out}, 'xx', lang) as lang")
+    assert L.sample(turned) == L.sample(docs) == L.sample(docs.where(f"not {out}"))
+
+
+def test_sample_is_bounded_and_uses_few_long_documents_whole(spark):
+    rows = [(i, "the of and to " * 3000, "en") for i in range(3)] + [(100 + i, "der die das", f"l{i}") for i in range(30)] + [(100 + i, "der die das", f"l{i}") for i in range(20)]
+    got = dict(L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out=None, languages=10))
+    assert len(got["en"]) == L.BYTES_PER_LANGUAGE or len(got) == 10 and "en" in got
+    assert len(got) == 10 and all(len(t) <= L.BYTES_PER_LANGUAGE for t in got.values())
