@@ -3,7 +3,8 @@
 A logistic model over the shares of each ASCII character gives a document's own evidence. Grouped aggregation sums it by path and by
 host: a host's rate of good documents is shrunk towards the global rate, a path's towards its host's, each with the strength that the
 spread of the rates between groups asks for (moments), so a site with few documents hardly moves its documents. A document's posterior
-replaces the global prior in its evidence by its path's.
+replaces the global prior in its evidence by its path's, from which the document itself is left out, so that a site of one document
+says nothing but its host's rate.
 
 `documents` has no addresses: `source` is its host, and the part of a source in one language is the path.
 """
@@ -11,6 +12,7 @@ replaces the global prior in its evidence by its path's.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled, stored, table
+from .common import labelled, map_texts, stored, table
 from .toxicity import fit_logistic
 
 #: Labelled documents of each class that the classifier may be fitted on. The only sample.
@@ -48,12 +50,19 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
-    """Fitted on labelled rows of docs; without rows of both classes, each text's odds are the labels' or even."""
-    rows = sorted((r.doc_id, r.text or "", r.label) for r in labelled(docs, labels, "quality", 1, None, per_class).collect())
-    y = np.array([k for *_, k in rows], float)
+    """Fitted on labelled rows of docs; without rows of both classes, each text's odds are the labels' or even. Texts become shares in
+    the tasks, so what is collected is bounded whatever their length."""
+
+    def featured(ids, texts, ys) -> Iterator[tuple]:
+        for i, t, y in zip(ids, texts, ys, strict=True):
+            yield i, y, shares(t).tobytes()
+
+    some = map_texts(labelled(docs, labels, "quality", 1, None, per_class), ["doc_id", "text", "label"], "doc_id long, label int, x binary", featured)
+    rows = some.groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # 2 * per_class at most
+    y = np.array([r.label for r in rows], float)
     if not len(y):
         return Classifier(np.zeros(len(shares("")) + 1))
-    w = fit_logistic(np.array([shares(t) for _, t, _ in rows]), y, 0.02)
+    w = fit_logistic(np.array([np.frombuffer(r.x) for r in rows]), y, 0.02)
     share = labels.where("quality in (0, 1)").agg(F.avg(F.col("quality").cast("double"))).first()[0]
     odds = lambda p: math.log(min(max(p, 1e-3), 1 - 1e-3) / (1 - min(max(p, 1e-3), 1 - 1e-3)))
     w[-1] += odds(share) - odds(y.mean())  # the sample has another share of good documents than the labels
@@ -82,46 +91,54 @@ def strength(groups: DataFrame, n: str, rate: str, prior: str) -> float:
     return float(min(max(own / between - 1, 1.0), 10_000.0)) if between > 0 else 10_000.0
 
 
-def sites(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, n, host_rate, path_rate) of evidence(host, path, p), null host and path as groups of their own, and the global rate."""
+def sites(evidence: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host, path, n, good, host_n, host_good) of evidence(host, path, p), null host and path as groups of their own; the global rate,
+    and how many documents it weighs against a host's own, and a host's rate against a path's own."""
     paths = stored(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")))
     rate = paths.agg((F.sum("good") / F.sum("n")).alias("r")).first().r
     rate = min(max(rate, 1e-3), 1 - 1e-3) if rate is not None else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    k = strength(hosts.select("host_n", (F.col("host_good") / F.col("host_n")).alias("r"), F.lit(rate).alias("p")), "host_n", "r", "p")
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("host_good") + k * rate) / (F.col("host_n") + k)).alias("host_rate"))
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    of_host = strength(hosts.select("host_n", (F.col("host_good") / F.col("host_n")).alias("r"), F.lit(rate).alias("p")), "host_n", "r", "p")
     both = stored(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"))
-    k = strength(both.select("n", (F.col("good") / F.col("n")).alias("r"), "host_rate"), "n", "r", "host_rate")
-    return both.select("host", "path", "n", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), rate
+    prior = (F.col("host_good") + of_host * rate) / (F.col("host_n") + of_host)
+    of_path = strength(both.select("n", (F.col("good") / F.col("n")).alias("r"), prior.alias("p")), "n", "r", "p")
+    return both, rate, of_host, of_path
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, only_kept: bool = False) -> DataFrame:
-    """docs with _evidence, _host_rate, _path_rate and _posterior (log odds, rates, probability) and _kept: rows stay as they are.
+def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """(row, evidence, host_rate, path_rate, posterior, kept) for each row of docs: those of its columns that are asked for (all) as a
+    struct, log odds, rates without the row itself, probability, verdict.
 
     Null and empty texts are judged by their lengths and characters as any other; null hosts and paths form their own site; repeated
-    rows count as often as they stand there; no documents, no rows. only_kept: drops the rejected and all added columns.
+    rows count as often as they stand there; no documents, no rows. Columns of docs can have any names. Texts are read once.
     """
     spark = docs.sparkSession
     host = F.col("source").cast("string") if host is None else host
     path = F.col("lang").cast("string") if path is None else path
-    evidence = evidence_column(spark, train(docs, labels))
-    known, rate = sites(docs.select(host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-evidence))).alias("p")))
-    known = stored(known)
-    judged = docs.withColumns({"_host": host, "_path": path, "_evidence": evidence})
-    right = known.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("host_rate").alias("_host_rate"), F.col("path_rate").alias("_path_rate"))
-    same = F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))
+    kept_columns = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)))
+    each = stored(docs.select(kept_columns.alias("row"), host.alias("host"), path.alias("path"), evidence_column(spark, train(docs, labels)).alias("evidence"), F.xxhash64("text").alias("hash")))
+    each = each.withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+    known, rate, of_host, of_path = sites(each.select("host", "path", "p"))
+    right = known.withColumnsRenamed({"host": "h", "path": "q"})
+    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q"))
     if known.count() <= BROADCAST_SITES:
-        judged = judged.join(F.broadcast(right), same)
+        judged = each.join(F.broadcast(right), same)
     else:
-        judged = judged.withColumn("_salt", F.pmod(F.xxhash64("text", "_evidence"), F.lit(SALTS)))
-        right = right.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        judged = judged.join(right, same & (F.col("_salt") == F.col("_s"))).drop("_salt", "_s")
-    odds = F.col("_evidence") - math.log(rate / (1 - rate)) + F.log(F.col("_path_rate") / (1 - F.col("_path_rate")))
-    judged = judged.drop("_h", "_p").withColumn("_posterior", 1 / (1 + F.exp(-odds))).withColumn("_kept", F.col("_posterior") >= threshold)
-    return judged.where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns)) if only_kept else judged
+        each = each.withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+        right = right.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        judged = each.join(right, same & (F.col("salt") == F.col("s")))
+    judged = judged.withColumn("host_rate", (F.col("host_good") - F.col("p") + of_host * rate) / (F.col("host_n") - 1 + of_host))
+    judged = judged.withColumn("path_rate", (F.col("good") - F.col("p") + of_path * F.col("host_rate")) / (F.col("n") - 1 + of_path))
+    odds = F.col("evidence") - math.log(rate / (1 - rate)) + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
+    judged = judged.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return judged.select("row", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") >= threshold).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs without those that are likelier bad than good; all columns stay."""
+    return judge(docs, labels, **how).where("kept").select("row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source", "lang")
-    got = judge(docs, table(spark, sf_dir, "labels"))
-    return got.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_posterior").alias("posterior"), F.col("_kept").alias("kept"))
+    return judge(docs, table(spark, sf_dir, "labels"), columns=["doc_id"]).select("row.doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
