@@ -15,7 +15,7 @@ from matchlake.llm.common import stored, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    return quality.judge(docs, table(spark, sf_dir, "labels"), only_kept=True)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
