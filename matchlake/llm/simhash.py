@@ -4,12 +4,15 @@ Fingerprints within `bits` differing bits agree, but for one bit at most, in one
 perfect Hamming code are the anchors: each value lies within the covering radius 1 of just one, so two values that differ in one bit
 both lie within 2 of the anchor nearest to either. Each distinct fingerprint goes once to its nearest anchor of each block, as the one
 that asks, and to all anchors within 2, to be found. An anchor compares the former with the latter, and keeps only as many links as
-connect what it found. Blocks of 32 bits (bits = 3) leave 2^26 anchors, each fingerprint at about 16.
+connect what it found. Blocks of 32 bits (bits = 3) leave 2^26 anchors, each fingerprint at about 16. The askers of an anchor with more
+than SPLIT fingerprints are dealt over tasks, each of which reads the anchor's fingerprints as a stream.
+
+The near-duplicate stage verifies what three fingerprints propose by the sets of five-word shingles. Texts whose sets are alike to 0.8
+needn't have such fingerprints: bands of MinHash signatures of those sets propose the rest (see banded_links).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,17 @@ from .common import map_texts, stored, table
 from .components import components
 
 BITS, WORDS, SEED = 3, 3, 42
-#: Runs of one anchor up to this length are compared together with others, longer ones one by one.
-SHORT = 8
+#: Runs of one anchor up to SHORT are compared together with others, up to SPLIT one by one, longer ones in several tasks.
+SHORT, SPLIT = 8, 8192
 #: Near-duplicate stage: shingles of five words and a similarity of 0.8 decide; three fingerprints of the distinct words propose.
 SHINGLE, SIMILAR, SEEDS = 5, 0.8, (42, 43, 44)
-#: Texts that share a shingle of their prefixes are compared each with each up to this number, more of them in rounds.
-TOGETHER = 16
+#: Signatures: bands of so many minima. Of pairs alike to 0.8, 1 in 2,800 has no equal band; of pairs alike to 0.5, half have one.
+BANDS, MINIMA = 20, 5
+#: Pairs are verified from this share of equal minima on: three standard errors below 0.8.
+PROMISING = 0.68
+#: In a band's bucket of up to TOGETHER texts all ask at once, in a larger one about PIVOTS in the first round, twice as many in the
+#: second, three times in the third.
+TOGETHER, PIVOTS = 16, 32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -110,11 +118,12 @@ def within(fps: np.ndarray, asks: np.ndarray, bits: int) -> list[tuple[int, int]
     return links
 
 
-def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def link(fps: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     """(kind, a, b): links between the distinct fps of one kind, of fps(kind int, fp long). All that are within bits of one another
     are connected, though not each with each."""
     schema = "key long, kind int, fp long, asks boolean"
     fields = [("key", pa.int64()), ("kind", pa.int32()), ("fp", pa.int64()), ("asks", pa.bool_())]
+    out = [("key", pa.int64()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("asks", pa.bool_())]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(bits)
@@ -126,7 +135,14 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
                 key = key.astype(np.int64) | kind[row].astype(np.int64) << 40
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip((key, kind[row], fp[row], asks), fields, strict=True)], [n for n, _ in fields])
 
-    def compare(key: np.ndarray, kind: np.ndarray, fp: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+    def links(key: np.ndarray, kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip((key, kind, a, b), out, strict=False)] + [pa.nulls(len(a), pa.bool_())], [n for n, _ in out])
+
+    def crowded(key: np.ndarray, kind: np.ndarray, fp: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+        """Rows of a long run, to be dealt anew: b is null."""
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind, pa.int32()), pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(asks)], [n for n, _ in out])
+
+    def compare(key: np.ndarray, kind: np.ndarray, fp: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole runs of equal keys."""
         u = fp.view(np.uint64)
         begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -139,28 +155,77 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
             a.append(x)
             b.append(x + d)
         for begin, size in zip(begins[sizes > SHORT], sizes[sizes > SHORT], strict=True):
-            found = within(u[begin : begin + size], asks[begin : begin + size], bits)
+            run = slice(begin, begin + size)
+            if size > split:
+                yield crowded(key[run], kind[run], fp[run], asks[run])
+                continue
+            found = within(u[run], asks[run], bits)
             if found:
                 i, j = np.array(found).T
                 a.append(begin + i)
                 b.append(begin + j)
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(kind[a], pa.int32()), pa.array(fp[a], pa.int64()), pa.array(fp[b], pa.int64())], ["kind", "a", "b"])
+        yield links(key[a], kind[a], fp[a], fp[b])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        """Sorted by key. At most a batch and `split` rows of the last run are held."""
+        kept, long_key = None, None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if long_key is not None:  # a long run goes on
+                cut = int(np.searchsorted(now[0], long_key, "right"))
+                if cut:
+                    yield crowded(*(x[:cut] for x in now))
+                now = [x[cut:] for x in now]
+                long_key = long_key if not len(now[0]) else None
+            if not len(now[0]):
+                continue
             kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            if len(kept[0]) and kept[0][0] != kept[0][-1]:  # the last run may go on in the next batch
-                cut = int(np.searchsorted(kept[0], kept[0][-1]))
-                yield compare(*(x[:cut] for x in kept))
-                kept = [x[cut:] for x in kept]
+            cut = int(np.searchsorted(kept[0], kept[0][-1]))  # the last run may go on in the next batch
+            yield from compare(*(x[:cut] for x in kept))
+            kept = [x[cut:] for x in kept]
+            if len(kept[0]) > split:
+                yield crowded(*kept)
+                kept, long_key = None, kept[0][0]
         if kept is not None:
-            yield compare(*kept)
+            yield from compare(*kept)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by (key, salt, asks first): the askers of one salt are held, all fingerprints of the key pass by."""
+        at, mine, group = None, None, None
+        for batch in batches:
+            key, salt, kind, fp, asks = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            u = fp.view(np.uint64)
+            begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+            for begin, end in zip(begins, [*begins[1:], len(key)], strict=True):
+                if (key[begin], salt[begin]) != at:
+                    at, mine, group = (key[begin], salt[begin]), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                own = np.flatnonzero(asks[begin:end]) + begin
+                mine = np.concatenate([mine, u[own]])
+                group = np.concatenate([group, np.arange(len(group), len(mine))])
+                a, b = [], []
+                for i in np.flatnonzero(~asks[begin:end]) + begin:
+                    near = np.flatnonzero(np.bitwise_count(mine ^ u[i]) <= bits)
+                    if len(near):
+                        groups, first = np.unique(group[near], return_index=True)
+                        a += mine[near[first]].view(np.int64).tolist()
+                        b += [fp[i]] * len(first)
+                        if len(groups) > 1:
+                            group[np.isin(group, groups)] = groups[0]
+                if a:
+                    yield links(np.full(len(a), key[begin]), np.full(len(a), kind[begin]), np.array(a), np.array(b))
 
     copies = fps.select(F.col("kind").cast("int"), "fp").mapInArrow(spread, schema)
-    return copies.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "kind int, a long, b long").distinct()
+    met = stored(copies.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, kind int, a long, b long, asks boolean"))
+    found, left = met.where("b is not null").select("kind", "a", "b"), met.where("b is null").select("key", "kind", F.col("a").alias("fp"), "asks")
+    if not left.isEmpty():
+        salts = F.ceil(F.col("n") / split).cast("int")
+        left = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+        asking = left.where("asks").select("key", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), "kind", "fp", "asks")
+        passing = left.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "kind", "fp", F.lit(False).alias("asks"))
+        dealt = asking.unionByName(passing).repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("asks"))
+        found = found.unionByName(dealt.mapInArrow(ask, "key long, kind int, a long, b long, asks boolean").where("a <> b").select("kind", "a", "b"))
+    return found.distinct()
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -189,90 +254,116 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
     return same.unionByName(near)
 
 
-def prefixes(sets: DataFrame, hot: np.ndarray, similar: float) -> DataFrame:
-    """(key, id, n): the first shingles of each of sets(id, n, hashes), so many that two sets as alike as `similar` share one of them.
-    That holds for any one order of all shingles: by hash, those in hot (sorted) last."""
-    at = sets.sparkSession.sparkContext.broadcast(hot)
-
-    def rows(ids, ns, hashes) -> Iterator[tuple]:
-        for i, n, h in zip(ids, ns, hashes, strict=True):
-            v = np.frombuffer(h, np.uint64)
-            if len(at.value) and n:
-                late = at.value[np.minimum(np.searchsorted(at.value, v), len(at.value) - 1)] == v
-                v = np.concatenate([v[~late], v[late]])
-            for k in v[: n - math.ceil(similar * n - 1e-9) + 1].view(np.int64).tolist():
-                yield k, i, n
-
-    return map_texts(sets, ["id", "n", "hashes"], "key long, id long, n long", rows)
-
-
 def alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """(id, root, likeness): those of pairs(id, root) whose shingle sets are as alike as `similar`."""
     pairs = pairs.join(sets.select("id", "hashes"), "id").join(sets.select(F.col("id").alias("root"), F.col("hashes").alias("others")), "root")
     return pairs.mapInArrow(jaccard, T._parse_datatype_string("id long, root long, likeness double")).where(F.col("likeness") >= similar)
 
 
-def shingle_links(sets: DataFrame, similar: float, together: int = TOGETHER) -> DataFrame:
-    """(id, root): links of sets(id, n, hashes) whose likeness is at least `similar`.
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash signature of a set of 64-bit hashes: BANDS * MINIMA values of 32 bits. Of an empty set all zero."""
+    out = np.full(BANDS * MINIMA, 0xFFFFFFFF if len(hashes) else 0, np.uint32)
+    r = np.random.default_rng(11)
+    turn, odd = (r.integers(0, 1 << 63, len(out), np.uint64) for _ in range(2))
+    odd = odd << np.uint64(1) | np.uint64(1)
+    for start in range(0, len(hashes), 1024):
+        v = (hashes[start : start + 1024, None] ^ turn) * odd >> np.uint64(32)
+        np.minimum(out, v.min(0).astype(np.uint32), out)
+    return out
+
+
+def band_keys(texts: DataFrame) -> DataFrame:
+    """(key, id): a key for each band of the signatures of texts(id, signature)."""
+
+    def rows(ids, signatures) -> Iterator[tuple]:
+        for i, s in zip(ids, signatures, strict=True):
+            for band in range(BANDS):
+                yield xxhash.xxh64_intdigest(s[4 * MINIMA * band :][: 4 * MINIMA], band) - (1 << 63), i
 
-    Of up to `together` texts at one shingle all pairs are compared. Shingles of more texts are put last in the order, which takes
-    passages that many texts have out of the prefixes. Where more than `together` still meet, they are near copies or hold little else:
-    in each round all are compared with the smallest id; it and those alike to it leave, the others meet again until none is left.
+    return map_texts(texts, ["id", "signature"], "key long, id long", rows)
+
+
+def promising(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs(id, root) whose signatures in texts(id, signature) have a share of PROMISING equal minima."""
+
+    def rows(ids, roots, a, b) -> Iterator[tuple]:
+        for i, j, x, y in zip(ids, roots, a, b, strict=True):
+            if (np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= PROMISING:
+                yield i, j
+
+    both = pairs.join(texts.select("id", F.col("signature").alias("x")), "id").join(texts.select(F.col("id").alias("root"), F.col("signature").alias("y")), "root")
+    return map_texts(both, ["id", "root", "x", "y"], "id long, root long", rows)
+
+
+def banded_links(buckets: DataFrame, known: DataFrame, texts: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """known(id, root), links, and as many more that texts alike to `similar` which share a bucket of buckets(key, id) are connected.
+
+    Texts that links connect needn't meet. In each round, texts outside the largest group of a bucket ask the bucket's members of other
+    groups: all of them in a small bucket, in a larger one some, and more in every round, that haven't asked before. A bucket is done
+    when it is one group, or when all outside its largest have asked, so that no pair of different groups was left out. Many copies in
+    a bucket are one group after a round; n texts unlike one another need about sqrt(n / 16) rounds.
     """
-    spark, hot = sets.sparkSession, np.zeros(0, np.uint64)
-    for _ in range(3):
-        at = stored(prefixes(sets, hot, similar))
-        sizes = stored(at.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-        many = np.array([r.key for r in sizes.where(F.col("m") > together).select("key").collect()], np.int64).view(np.uint64)
-        if len(many) == 0 or np.isin(many, hot).all():
-            break
-        hot = np.union1d(hot, many)
-    left = stored(at.join(sizes.select("key"), "key"))
-    near = F.least("n", "root_n") >= similar * F.greatest("n", "root_n") - 1e-9
-    out = spark.createDataFrame([], "id long, root long")
+    spark, turn = buckets.sparkSession, 0
+    asked = tested = None
     while True:
-        sizes = stored(left.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("first")).where("m > 1"))
-        few = left.join(sizes.where(F.col("m") <= together).select("key"), "key")
-        other = few.select("key", F.col("id").alias("root"), F.col("n").alias("root_n"))
-        out = out.unionByName(stored(alike(few.join(other, "key").where("id > root").where(near).select("id", "root").distinct(), sets, similar).select("id", "root")))
-        many = sizes.where(F.col("m") > together).select("key", F.col("first.id").alias("root"), F.col("first.n").alias("root_n"))
-        if many.isEmpty():
-            return out.distinct()
-        met = left.join(many, "key").where("id <> root")
-        found = stored(alike(met.where(near).select("id", "root").distinct(), sets, similar).select("id", "root"))
-        out = out.unionByName(found)
-        left = stored(met.join(found, ["id", "root"], "left_anti").select("key", "id", "n"))
+        turn += 1
+        roots = components(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        here = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+        groups = here.groupBy("key", "c").agg(F.count("*").alias("n"))
+        largest = groups.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("m")).where("groups > 1").drop("groups")
+        here = stored(here.join(largest, "key"))
+        outside = here.where("c <> largest")
+        if asked is not None:
+            outside = outside.join(asked, ["key", "id"], "left_anti")
+        left = outside.groupBy("key").agg(F.count("*").alias("q"))
+        some = (F.col("m") <= TOGETHER) | (F.col("q") <= PIVOTS * turn) | (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < F.lit(PIVOTS * turn * float(1 << 30)) / F.col("q"))
+        asking = stored(outside.join(left, "key").where(some).select("key", "id", "c"))
+        if asking.isEmpty():
+            return known
+        pairs = asking.select("key", F.col("id").alias("x"), F.col("c").alias("d")).join(here.select("key", "id", "c"), "key").where("c <> d")
+        pairs = pairs.select(F.greatest("id", "x").alias("id"), F.least("id", "x").alias("root")).distinct()
+        pairs = stored(promising(pairs if tested is None else pairs.join(tested, ["id", "root"], "left_anti"), texts))
+        found = alike(pairs, sets, similar).select("id", "root")
+        known = stored(known.unionByName(found))
+        asked = asking.select("key", "id") if asked is None else asked.unionByName(asking.select("key", "id"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
 
 
 def copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """(doc_id, copy_of): the documents of docs(doc_id, text) to drop so that one of each group stays.
 
     Equal texts (nulls count as empty) are copies of the smallest doc_id. Of distinct texts, the fingerprints of the distinct words
-    and the prefixes of the shingle sets propose links; those whose sets of five-word shingles have a Jaccard similarity of at least 0.8
-    count. Of each component of such
-    links the smallest id stays. Rows without doc_id are never copies.
+    propose links, then the bands of signatures of the shingle sets; those whose sets of five-word shingles have a Jaccard similarity of
+    at least 0.8 count. Of each component of such links the smallest id stays. Rows without doc_id are never copies.
     """
 
     def rows(ids, texts) -> Iterator[tuple]:
         for i, t in zip(ids, texts, strict=True):
-            pieces = list(dict.fromkeys(words_of(t)))
-            yield i, xxhash.xxh3_128_hexdigest((t or "").encode()), *(fingerprint(pieces, s) for s in seeds)
+            words = words_of(t)
+            pieces = list(dict.fromkeys(words))
+            yield i, xxhash.xxh3_128_hexdigest((t or "").encode()), minima(hashed(words)).tobytes(), *(fingerprint(pieces, s) for s in seeds)
+
+    def hashed(words: list[bytes]) -> np.ndarray:
+        return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(words, shingle)], np.uint64))
+
+    def set_rows(ids, texts) -> Iterator[tuple]:
+        for i, t in zip(ids, texts, strict=True):
+            yield i, hashed(words_of(t)).tobytes()
 
     names = [f"f{i}" for i in range(len(seeds))]
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    each = stored(map_texts(docs, ["doc_id", "text"], "doc_id long, same string, " + ", ".join(f"{n} long" for n in names), rows))
-    texts = stored(each.groupBy("same").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names)))
+    each = stored(map_texts(docs, ["doc_id", "text"], "doc_id long, same string, signature binary, " + ", ".join(f"{n} long" for n in names), rows))
+    texts = stored(each.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), *(F.first(n).alias(n) for n in names)))
     equal = each.select("doc_id", "same").join(texts.select("same", "id"), "same").where("doc_id <> id").select("doc_id", F.col("id").alias("copy_of"))
 
-    def hashed(ids, texts) -> Iterator[tuple]:
-        for i, t in zip(ids, texts, strict=True):
-            v = np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(words_of(t), shingle)], np.uint64))
-            yield i, len(v), v.tobytes()
-
-    links = stored(candidates(texts.select("id", F.array(*names).alias("fps")), bits).select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).distinct())
-    sets = stored(map_texts(docs.join(texts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), ["doc_id", "text"], "id long, n long, hashes binary", hashed).dropDuplicates(["id"]))
-    judged = alike(links, sets, similar).select("id", "root").unionByName(shingle_links(sets, similar)).distinct()
-    groups = components(judged.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    proposed = stored(candidates(texts.select("id", F.array(*names).alias("fps")), bits).select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).distinct())
+    at = stored(band_keys(texts))
+    buckets = stored(at.join(at.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key"))
+    some = buckets.select("id").unionByName(proposed.select("id")).unionByName(proposed.select(F.col("root").alias("id"))).distinct()
+    # rows that repeat a doc_id with another text: the ids stand for the texts that have them as their least
+    sets = stored(map_texts(docs.join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), ["doc_id", "text"], "id long, hashes binary", set_rows).groupBy("id").agg(F.min("hashes").alias("hashes")))
+    links = banded_links(buckets, stored(alike(proposed, sets, similar).select("id", "root")), texts.select("id", "signature"), sets, similar)
+    groups = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return equal.unionByName(groups.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("copy_of")))
 
 
@@ -289,9 +380,9 @@ def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group of copies; all columns stay. Rows that repeat a doc_id stay or go together."""
-    gone = copies(docs, **how).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    return rest.select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = copies(docs, **how).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,9 @@ def test_dense_groups_stay_whole(spark):
     links = [(x.a, x.b) for x in S.link(df).collect()]
     near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
     assert brute_groups(fps, links) == brute_groups(fps, near) and all((a ^ b).bit_count() <= 3 for a, b in links)
+    split = [(x.a, x.b) for x in S.link(df, split=50).collect()]  # crowded anchors in several tasks
+    assert brute_groups(fps, split) == brute_groups(fps, near) and all((a ^ b).bit_count() <= 3 for a, b in split)
+    assert S.link(df, split=50).select("kind").distinct().count() == 1 and S.link(df.limit(0)).count() == 0
 
 
 def test_keep_one(spark):
