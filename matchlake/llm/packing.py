@@ -2,9 +2,10 @@
 
 Documents become token ids; those above the sequence length are cut into full pieces and a rest. The histogram of piece lengths has
 max_tokens bins at most, so it fits on the driver at any corpus size. Lengths are placed longest first, each into the pattern with
-the fewest tokens that still leaves room; a bin's whole count moves at once, which splits a pattern's count when they differ.
-Each (length, place in a pattern) then owns a range of ranks among the pieces of that length, and a piece finds its sequence by its
-rank. Ranks are counted per (length, salt), so that a length which many pieces share isn't gathered in one task.
+the fewest tokens that still leaves room; one piece goes to each sequence of the pattern at once, which splits a pattern's count when it
+has more sequences than the bin has pieces left. Each (length, place in a pattern) then owns a range of ranks among the pieces of that
+length, and a piece finds its sequence by its rank. The task that cuts a text numbers its pieces of each length; the numbers of pieces
+that other tasks have before it are summed per length, so no length is gathered or sorted.
 """
 
 from __future__ import annotations
@@ -13,25 +14,27 @@ import bisect
 import json
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import map_texts, stored, table
+from .common import rows_to_arrow, stored, table
 
 MAX_TOKENS = 4096
 END = 2
 #: Words whose ids a Python worker remembers; beyond that and one batch it starts anew. Bounds memory, not results.
 REMEMBERED = 600_000
-#: Ranges that one length's pieces are ranked in, apart from one another.
-SALTS = 64
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -94,23 +97,33 @@ def word_codes(path: str) -> WordCodes:
 
 
 def cut(docs: DataFrame, path: str, end: int = END, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of every document (null text: only the end id)."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, task, nth): the pieces of every document (null text: only the end id), each with
+    its number among the task's pieces of its length."""
     last = np.array([end], "<u4").tobytes()
+    schema = T._parse_datatype_string("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long")
 
-    def rows(ids, texts) -> Iterator[tuple]:
-        for i, x in zip(ids, word_codes(path).encode_all([t or "" for t in texts]), strict=True):
-            x += last
-            n = len(x) // 4
-            for start in range(0, n, max_tokens):
-                part = x[4 * start : 4 * (start + max_tokens)]
-                yield i, start, len(part) // 4, zlib.crc32(part), n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), Counter()
 
-    return map_texts(docs, ["doc_id", "text"], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows)
+        def rows(ids, texts) -> Iterator[tuple]:
+            for i, x in zip(ids, word_codes(path).encode_all([t or "" for t in texts]), strict=True):
+                x += last
+                n = len(x) // 4
+                for start in range(0, n, max_tokens):
+                    part = x[4 * start : 4 * (start + max_tokens)]
+                    length = len(part) // 4
+                    yield i, start, length, zlib.crc32(part), n, task, seen[length]
+                    seen[length] += 1
+
+        yield from rows_to_arrow(schema, ["doc_id", "text"], rows)(batches)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def fill(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns: (how many sequences have it, its runs (length, times), longest first). Shortest-pack-first: of the patterns with room,
-    the one with the fewest tokens takes the next length; as many of it as fit, so a pattern takes a run of a bin at once."""
+    """Patterns: (how many sequences have it, its runs (length, times), longest first). Shortest-pack-first: of the sequences with room,
+    the one with the fewest tokens takes the next piece. A new sequence, made where none has room, is then the only one that has some,
+    and takes pieces of the same length until it has none."""
     open_at: dict[int, list[list]] = {}  # tokens so far -> patterns [count, runs]
     fills: list[int] = []
     done: list[tuple[int, list[tuple[int, int]]]] = []
@@ -133,12 +146,11 @@ def fill(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[
                 if not open_at[tokens]:
                     del open_at[tokens]
                     fills.pop(0)
-                times = min((max_tokens - tokens) // length, -(-left // count)) if count <= left else 1
-                took = min(count, left // times)
+                took = min(count, left)
                 if took < count:
                     put(tokens, count - took, runs)
-                put(tokens + times * length, took, [*runs, (length, times)])
-                left -= took * times
+                put(tokens + length, took, [*runs[:-1], (length, runs[-1][1] + 1)] if runs[-1][0] == length else [*runs, (length, 1)])
+                left -= took
             else:
                 times = min(max_tokens // length, left)
                 took = left // times
@@ -171,25 +183,22 @@ def pack(docs: DataFrame, path: str, end: int = END, max_tokens: int = MAX_TOKEN
     Null and empty texts are one end id; repeated rows are packed as often as they stand there; null doc_ids stay null; no documents,
     no rows. Sequences are gapless; a power of two and max_tokens need no padding.
     """
-    spark = docs.sparkSession
-    pieces = stored(cut(docs, path, end, max_tokens).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")))
-    counts = pieces.groupBy("length", "salt").count().toPandas()  # max_tokens * SALTS rows at most
-    counts = counts.sort_values(["length", "salt"])
-    counts["before"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    at = spark.sparkContext.broadcast(places(fill(counts.groupby("length")["count"].sum().to_dict(), max_tokens)))
-    before = spark.sparkContext.broadcast({(int(a), int(b)): int(c) for a, b, c in zip(counts["length"], counts["salt"], counts["before"], strict=True)})
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    pieces = stored(cut(docs, path, end, max_tokens))
+    counts = stored(pieces.groupBy("length", "task").agg(F.max("nth").alias("n")).withColumn("n", F.col("n") + 1))
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
+    at = docs.sparkSession.sparkContext.broadcast(places(fill(histogram, max_tokens)))
+    before = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    ranked = pieces.join(before, ["length", "task"]).select(*columns, (F.col("before") + F.col("nth")).alias("rank"))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, b = at.value, before.value
-        wide = 1 << 40
+        p, wide = at.value, 1 << 40
         keys = p["length"] * wide + p["first"]
         for x in batches:
-            length = x["length"].to_numpy(np.int64)
-            rank = x["rank"].to_numpy(np.int64) + np.fromiter((b[k] for k in zip(length.tolist(), x["salt"].tolist(), strict=True)), np.int64, len(x))
+            length, rank = x["length"].to_numpy(np.int64), x["rank"].to_numpy(np.int64)
             row = np.searchsorted(keys, length * wide + rank, "right") - 1
             k, times = rank - p["first"][row], p["times"][row]
-            yield x[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(sequence_id=p["sequence"][row] + k // times, offset=p["offset"][row] + length * (k % times))
+            yield x[columns].assign(sequence_id=p["sequence"][row] + k // times, offset=p["offset"][row] + length * (k % times))
 
     return ranked.mapInPandas(placed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -24,6 +24,28 @@ def test_fill_uses_each_length_once():
     assert K.fill({}) == []
 
 
+def strict(histogram, top):
+    """Shortest-pack-first, a piece at a time: the sorted fills of the sequences."""
+    open_ = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            i = min(range(len(open_)), key=open_.__getitem__, default=None)
+            if i is None or open_[i] + length > top:
+                open_.append(0)
+                i = len(open_) - 1
+            open_[i] += length
+    return sorted(open_)
+
+
+def test_fill_as_strict_shortest_pack_first():
+    r = random.Random(5)
+    for top in (7, 16, 100):
+        for _ in range(60):
+            h = {r.randint(1, top): r.randint(1, 40) for _ in range(r.randint(1, 12))}
+            got = sorted(x for count, runs in K.fill(h, top) for x in [sum(a * b for a, b in runs)] * count)
+            assert got == strict(h, top)
+
+
 def packed(rows):
     by = {}
     for r in rows:
