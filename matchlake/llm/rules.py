@@ -1,7 +1,7 @@
 """2. Quality rules judged by an isolation forest.
 
-Each document's rule statistics become a row of rates. Trees of random splits, grown on a bounded hash sample as the method asks for,
-isolate odd rows after few splits; the mean path length over the trees gives a score between 0 and 1. The scores' histogram by label,
+Each document's rule statistics become a row of rates. Trees of random splits, each grown on its own small hash sample of all documents
+that pass the base rules, as the method asks for, isolate odd rows after few splits; the mean path length over the trees gives a score between 0 and 1. The scores' histogram by label,
 summed over all labelled documents, calibrates the threshold above which a document is rejected.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 
 TREES, SAMPLE, SEED = 100, 256, 7
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
@@ -87,9 +87,16 @@ def mean_path(n: int) -> float:
 
 
 def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """A forest on samples of the rows x."""
+    r = np.random.default_rng(seed)
+    return grow_each([x[r.choice(len(x), min(sample, len(x)), replace=False)] for _ in range(trees if len(x) else 0)], sample, seed + 1)
+
+
+def grow_each(samples: list[np.ndarray], sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    """A forest with a tree on each of samples."""
     r, grown = np.random.default_rng(seed), []
     deepest = math.ceil(math.log2(max(2, sample)))
-    for _ in range(trees if len(x) else 0):
+    for x in samples:
         nodes: list[list] = []
 
         def node(rows: np.ndarray, depth: int, nodes=nodes) -> int:
@@ -106,12 +113,12 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SE
                     nodes[at][2] = [node(rows[~right], depth + 1), node(rows[right], depth + 1)]
             return at
 
-        node(x[r.choice(len(x), min(sample, len(x)), replace=False)], 0)
+        node(x, 0)
         grown.append(nodes)
     most = max(map(len, grown), default=0)
     pad = [[*t, *[[-1, 0.0, [0, 0], 0.0]] * (most - len(t))] for t in grown]
     cols = [np.array([[n[i] for n in t] for t in pad]) for i in range(4)] if pad else [np.zeros((0, 0))] * 4
-    return Forest(cols[0].astype(np.int64), cols[1], cols[2].astype(np.int64), cols[3], mean_path(min(sample, len(x))) or 1.0)
+    return Forest(cols[0].astype(np.int64), cols[1], cols[2].astype(np.int64), cols[3], mean_path(min(sample, max(map(len, samples), default=0))) or 1.0)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -140,17 +147,16 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
 
 
 def fit(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> Forest:
-    """A forest grown on documents that pass the base rules: trees * sample rows at most, in the order of a hash of doc_id."""
+    """A forest whose trees each grow on `sample` of the distinct rows that pass the base rules, those with the least hash of tree and
+    row. A bound on the hash, which leaves some more than that of all rows, keeps the others from travelling."""
     names = [f.split()[0] for f in STATISTICS.split(", ")]
-    most, passed, mark = min(20_000, trees * sample), stats.where(~F.col("base_failed")), F.xxhash64("doc_id")
-    # each task sends its first rows: a bound on the hash that leaves about `most` of all rows spares the rest the way
-    share = (most + 10 * most**0.5) / max(1, passed.count())
-    near = passed if share >= 1 else passed.where(mark < int(-(2**63) + share * 2**64))
-    first = lambda df: df.orderBy(mark, "doc_id", *names).select(*names).limit(most).toPandas()
-    rows = first(near)
-    if share < 1 and len(rows) < most:  # many rows share a doc_id
-        rows = first(passed)
-    return grow(rates(*(rows[n].to_numpy(np.float64) for n in names)), trees, sample)
+    passed = stored(stats.where(~F.col("base_failed")).select("doc_id", *names).distinct())
+    share = (sample + 10 * sample**0.5) / max(1, passed.count())
+    least = int(-(2**63) + min(share, 1) * (2**64 - 1))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.struct(k.alias("tree"), F.xxhash64(k, "doc_id", *names).alias("mark"))), lambda d: d["mark"] <= least)
+    rows = passed.select(*names, F.explode(drawn).alias("d")).select("d.*", *names).toPandas()  # trees * (sample + 10 * sample**0.5) on average
+    rows = rows.sort_values(["tree", "mark", *names])
+    return grow_each([rates(*(x[n].to_numpy(np.float64)[:sample] for n in names)) for _, x in rows.groupby("tree")], sample)
 
 
 def calibrate(judged: DataFrame, labels: DataFrame, max_good_lost: float = MAX_GOOD_LOST) -> float:
@@ -175,8 +181,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail the base rules; repeated rows get equal verdicts; no documents, no rows. The statistics
     are stored once, then read for the sample, the calibration and the result.
     """
-    from .common import stored
-
     stats = stored(with_statistics(docs))
     judged = scored(stats, fit(stats))
     threshold = calibrate(judged, labels)

@@ -58,3 +58,31 @@ def test_query(spark, sf_dir):
         x = got[r.doc_id]
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute(r.text)
         assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words) and not (x.kept and x.base_failed)
+
+
+def test_verdicts_as_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = Q.judge(docs.select("doc_id", "text"), labels).collect()
+    stats = Q.with_statistics(docs.select("doc_id", "text"))
+    forest = Q.fit(stats)
+    assert len(forest.feature) == Q.TREES
+    for r, s in zip(got, forest.score(Q.rates(*(np.array([getattr(r, n) for r in got], float) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))), strict=True):
+        assert np.isclose(r.score, s)
+    label = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    known = [(min(int(r.score * Q.BINS), Q.BINS - 1), label[r.doc_id]) for r in got if not r.base_failed and r.doc_id in label]
+    good, bad = ([b for b, q in known if q == x] for x in (1, 0))
+    best, cut = 0, None
+    for c in range(Q.BINS):
+        lost, caught = (sum(b >= c for b in v) / len(v) for v in (good, bad))
+        if lost <= Q.MAX_GOOD_LOST and caught - lost > best:
+            best, cut = caught - lost, c
+    for r in got:
+        assert r.kept == (not r.base_failed and (cut is None or r.score < cut / Q.BINS))
+
+
+def test_each_tree_has_its_own_rows(spark):
+    rows = [(i % 500 if i < 3000 else 7, 20, 60 + i % 9, i % 4, 0, 0, False) for i in range(9000)]  # two thirds have one doc_id
+    stats = spark.createDataFrame(rows, f"doc_id long, {Q.STATISTICS}, base_failed boolean")
+    forest = Q.fit(stats, trees=20, sample=64)
+    assert len(forest.feature) == 20 and len({tuple(t) for t in forest.cut.tolist()}) > 15
+    assert len(Q.fit(stats.where("1=0")).feature) == 0
