@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SAMPLES = 32
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
+#: Null doc_ids are dealt by their text over so many keys, the least of all longs, which are no doc_ids.
+NO_IDS, LEAST = 65_536, -(1 << 63)
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -32,14 +32,18 @@ def followed(docs: DataFrame) -> DataFrame:
     return ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))).join(F.broadcast(after), "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"), "n")
 
 
+def id_of(key: str) -> Column:
+    return F.when(F.col(key) >= LEAST + NO_IDS, F.col(key))
+
+
 def edited(docs: DataFrame) -> DataFrame:
-    """(key, text, edited) for each row of docs(doc_id, text): key is doc_id, NO_ID for null; null texts: empty.
+    """(key, text, edited) for each row of docs(doc_id, text): key is doc_id, or one of NO_IDS for null; null texts: empty.
 
     The last half of the code points gives way to the first as many of the next document (all, if it has fewer). Of several texts of
     one doc_id, the least part counts as the next document. Without doc_id nothing follows. Texts are shuffled by doc_id, and of each
     again as much as the document before it needs, for the lengths are known beforehand."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    order = followed(docs.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), F.length("text").alias("n")))
+    docs = docs.select(F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(NO_IDS)) + F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    order = followed(docs.select(id_of("key").alias("doc_id"), F.length("text").alias("n")))
     docs = docs.repartition("key")  # once for all that follows: no key is null, so both branches below read the same shuffle
     before = order.select(F.col("next_id").alias("key"), F.col("doc_id").alias("before_id"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     heads = docs.join(before, "key").groupBy(F.col("before_id").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("need"))).alias("head"))
@@ -105,7 +109,7 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     again = known.where("copies > 1").select("key", "same", "copies")
     counted = counted.join(again, ["key", "same"], "left").select("key", "same", "word", *((F.col(w) / F.coalesce("copies", F.lit(1))).alias(w) for w in "ab"))
     fps = sampled(counted, ["key", "same"], ["a", "b"], samples).select("key", "same", *(F.transform(f"{w}_fp", lambda x: x.cast("int")).alias(w) for w in "ab"))
-    at = stored(known.join(fps, ["key", "same"], "left").withColumn("doc_id", F.nullif("key", F.lit(NO_ID))).drop("key"))
+    at = stored(known.join(fps, ["key", "same"], "left").withColumn("doc_id", id_of("key")).drop("key"))
     order = followed(at.select("doc_id", F.lit(0).alias("n")))
     following = at.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("a")).alias("f")).select(F.col("doc_id").alias("next_id"), F.col("f.a").alias("next_fp"))
     at = at.join(order.select("doc_id", "next_id"), "doc_id", "left").join(following, "next_id", "left")
