@@ -34,9 +34,8 @@ SHINGLE, SIMILAR, SEEDS = 5, 0.8, (42, 43, 44)
 BANDS, MINIMA = 20, 5
 #: Pairs are verified from this share of equal minima on: three standard errors below 0.8.
 PROMISING = 0.68
-#: In a band's bucket of up to TOGETHER texts all ask at once, in a larger one about PIVOTS in the first round, twice as many in the
-#: second, three times in the third.
-TOGETHER, PIVOTS = 16, 32
+#: A task compares about so many askers of a band's bucket with so many of its texts.
+ASKERS, PASSING = 256, 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -295,38 +294,73 @@ def promising(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_texts(both, ["id", "root", "x", "y"], "id long, root long", rows)
 
 
+def ask_all(here: DataFrame, similar: float | None) -> DataFrame:
+    """Of here(key, id, c, asks, blocks, chunks, signature, hashes): every text that asks is compared with every text of its key that has
+    another c, by signature and, if promising, by set. Gives (key, id, root): links of those alike to `similar`, without links between
+    what earlier ones of the task connect; with None, a row for each promising text of a key, from signatures alone. Askers are held,
+    a block of them at a time, while the others pass by; no pairs are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, cs, signatures, sets, group, matrix = None, [], [], [], [], {}, None
+
+        def find(x: int) -> int:
+            while group.get(x, x) != x:
+                x = group[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for key, block, chunk, asks, i, c, signature, hashes in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if (key, block, chunk) != at:
+                    at, ids, cs, signatures, sets, group, matrix = (key, block, chunk), [], [], [], [], {}, None
+                mine = np.frombuffer(signature, np.uint32)
+                if asks:
+                    ids.append(i)
+                    cs.append(c)
+                    signatures.append(mine)
+                    sets.append(hashes)
+                    continue
+                if matrix is None:
+                    matrix = np.array(signatures).reshape(len(ids), -1)
+                share = (matrix == mine).mean(1) if ids else np.zeros(0)
+                for j in np.argsort(-share)[: int((share >= PROMISING).sum())]:
+                    if find(c) == find(cs[j]):
+                        continue
+                    if similar is None:
+                        out.append((key, i, i))
+                        break
+                    x, y = (np.frombuffer(v, np.uint64) for v in (hashes, sets[j]))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similar * (len(x) + len(y) - both):
+                        out.append((key, max(i, ids[j]), min(i, ids[j])))
+                        group[find(c)] = find(cs[j])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["key", "id", "root"])
+
+    columns = ["id", "c", "signature", "hashes"]
+    asking = here.where("asks").select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"), *columns)
+    passing = here.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.lit(False).alias("asks"), *columns)
+    return asking.unionByName(passing).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk", F.desc("asks")).mapInArrow(run, "key long, id long, root long")
+
+
 def banded_links(buckets: DataFrame, known: DataFrame, texts: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """known(id, root), links, and as many more that texts alike to `similar` which share a bucket of buckets(key, id) are connected.
+    """known(id, root), links, and as many more that all texts alike to `similar` which share a bucket of buckets(key, id) are connected.
 
-    Texts that links connect needn't meet. In each round, texts outside the largest group of a bucket ask the bucket's members of other
-    groups: all of them in a small bucket, in a larger one some, and more in every round, that haven't asked before. A bucket is done
-    when it is one group, or when all outside its largest have asked, so that no pair of different groups was left out. Many copies in
-    a bucket are one group after a round; n texts unlike one another need about sqrt(n / 16) rounds.
+    First each text of a bucket is compared with one of it, picked by hash, so that copies become one group. Then the texts outside the
+    largest group of a bucket ask all of its other groups, first by signatures, then, where any is promising, by sets.
     """
-    spark, turn = buckets.sparkSession, 0
-    asked = tested = None
-    while True:
-        turn += 1
-        roots = components(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        here = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
-        groups = here.groupBy("key", "c").agg(F.count("*").alias("n"))
-        largest = groups.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("m")).where("groups > 1").drop("groups")
-        here = stored(here.join(largest, "key"))
-        outside = here.where("c <> largest")
-        if asked is not None:
-            outside = outside.join(asked, ["key", "id"], "left_anti")
-        left = outside.groupBy("key").agg(F.count("*").alias("q"))
-        some = (F.col("m") <= TOGETHER) | (F.col("q") <= PIVOTS * turn) | (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < F.lit(PIVOTS * turn * float(1 << 30)) / F.col("q"))
-        asking = stored(outside.join(left, "key").where(some).select("key", "id", "c"))
-        if asking.isEmpty():
-            return known
-        pairs = asking.select("key", F.col("id").alias("x"), F.col("c").alias("d")).join(here.select("key", "id", "c"), "key").where("c <> d")
-        pairs = pairs.select(F.greatest("id", "x").alias("id"), F.least("id", "x").alias("root")).distinct()
-        pairs = stored(promising(pairs if tested is None else pairs.join(tested, ["id", "root"], "left_anti"), texts))
-        found = alike(pairs, sets, similar).select("id", "root")
-        known = stored(known.unionByName(found))
-        asked = asking.select("key", "id") if asked is None else asked.unionByName(asking.select("key", "id"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    sizes = stored(buckets.groupBy("key").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "key")).alias("root")))
+    pairs = buckets.join(sizes, "key").where("id <> root").select(F.greatest("id", "root").alias("id"), F.least("id", "root").alias("root")).distinct()
+    known = stored(known.unionByName(alike(promising(pairs, texts), sets, similar).select("id", "root")))
+    roots = components(known.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    here = buckets.join(sizes.where("m > 2").select("key"), "key").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+    groups = here.groupBy("key", "c").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("groups"), F.sum("n").alias("m"), F.max("n").alias("most")).where("groups > 1")
+    largest = largest.select("key", "largest", F.ceil((F.col("m") - F.col("most")) / ASKERS).alias("blocks"), F.ceil(F.col("m") / PASSING).alias("chunks"))
+    here = stored(here.join(largest, "key").withColumn("asks", F.col("c") != F.col("largest")).join(texts, "id"))
+    some = ask_all(here.withColumn("hashes", F.lit(None).cast("binary")), None).select("key").distinct()
+    found = ask_all(here.join(some, "key").join(sets, "id"), similar)
+    return stored(known.unionByName(found.select("id", "root")).distinct())
 
 
 def copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: tuple[int, ...] = SEEDS) -> DataFrame:

@@ -137,14 +137,16 @@ def test_every_pair_from_similarity_of_one_level(spark):
     assert got == want and 40 <= len(want) < 60
 
 
-def test_members_that_fail_meet_again(spark):
+def test_members_that_fail_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(S, "ASKERS", 5)  # in several blocks and chunks
+    monkeypatch.setattr(S, "PASSING", 20)
     r = random.Random(9)
     head = ["".join(r.choices("abcdefgh", k=5)) for _ in range(120)]
     texts = [" ".join(r.sample(head, 120))]  # the same distinct words, so all links of fingerprints lead to it
     texts += [" ".join(head), " ".join(head[3:] + head[:3])]
     for k in range(3):  # more than may meet at once: three groups, each of near copies, of one long passage
         tail = ["".join(r.choices("abcdefgh", k=5)) for _ in range(60)]
-        for _ in range(2 * S.TOGETHER):
+        for _ in range(32):
             w = head + tail
             w[150 + r.randrange(25)] = "edited"
             texts.append(" ".join(w))
