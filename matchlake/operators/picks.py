@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Strategies with their priorities, in the order in which they are listed; two share the first.
+PRIORITIES = (("BEST_PICK", 1), ("HIGH_CONFIDENCE", 2), ("VALUE_PLAY", 3), ("LOCKED_PICK", 1))
+
+
+def matched(predictions: DataFrame) -> DataFrame:
+    """A row for each strategy that a prediction meets: advice HIGH with confidence, rate and tip; sheer confidence; value on the guests'
+    side; or a dominant rate with any advice but SKIP, none included. A missing tip or missing odds meet theirs."""
+    c, r, p, advice = F.col("advice_confidence"), F.col("h2h_win_rate"), F.col("tip_probability"), F.col("advice_recommendation")
+    tests = {
+        "BEST_PICK": (advice == "HIGH") & (c >= 80) & (r >= 60) & ((p > 60) | p.isNull()),
+        "HIGH_CONFIDENCE": (c >= 85) & advice.isin("HIGH", "MEDIUM"),
+        "VALUE_PLAY": (F.col("focus_team") == "away") & (c >= 70) & (r >= 60) & (F.col("tip_away_odds").isNull() | F.col("tip_away_odds").between(1.80, 3.50)),
+        "LOCKED_PICK": (r >= 80) & (c >= 70) & ~advice.eqNullSafe("SKIP") & ((p >= 65) | p.isNull()),
+    }
+    met = F.array(*(F.when(tests[s], F.struct(F.lit(s).alias("strategy"), F.lit(n).alias("priority"), F.lit(i).alias("place"))) for i, (s, n) in enumerate(PRIORITIES)))
+    return predictions.select("*", F.explode(F.filter(met, lambda x: x.isNotNull())).alias("m")).select(*predictions.columns, "m.*")
+
+
 def strategies(predictions: DataFrame) -> DataFrame:
-    """Each prediction's best strategy by priority, one row: advice HIGH with high confidence, rate and agreement first, then sheer
-    confidence, then value on the away side, then a locked advice."""
-    c, r, p = F.col("advice_confidence"), F.col("h2h_win_rate"), F.col("tip_probability")
-    best = (F.col("advice_recommendation") == "HIGH") & (c >= 80) & (r >= 60) & ((p > 60) | p.isNull())
-    sure = (c >= 85) & F.col("advice_recommendation").isin("HIGH", "MEDIUM")
-    value = (F.col("focus_team") == "away") & (F.col("tip_away_odds").between(1.80, 3.50) | F.col("tip_away_odds").isNull()) & (c >= 70)
-    locked = F.col("advice_recommendation") == "LOCK"
-    chosen = F.when(best, F.lit("BEST_PICK")).when(sure, "HIGH_CONFIDENCE").when(value, "VALUE_PLAY").when(locked, "LOCKED_PICK")
-    priority = F.when(best, 1).when(sure, 2).when(value, 3).when(locked, 4)
-    got = predictions.select("id", "match_url", "sport", chosen.alias("strategy"), priority.alias("priority"), "advice_confidence").where(F.col("strategy").isNotNull())
-    return got
+    """Of each address, the strategy of least priority, of equal ones the first listed."""
+    first = Window.partitionBy("match_url").orderBy("priority", "place", "id")
+    got = matched(predictions).withColumn("n", F.row_number().over(first)).where("n = 1")
+    return got.select("id", "match_url", "sport", "strategy", "priority", "advice_confidence")
 
 
 def top_by_sport(predictions: DataFrame, n: int = 10) -> DataFrame:
@@ -26,38 +37,76 @@ def top_by_sport(predictions: DataFrame, n: int = 10) -> DataFrame:
     return strategies(predictions).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def consensus(predictions: DataFrame, at_least: int = 3) -> DataFrame:
-    """Predictions on which at_least sources agree about the home side, with how many."""
-    votes = [F.col("h2h_win_rate") >= 60, F.col("tip_prediction") == "1", F.col("fan_home_win_prob") >= 45, F.col("advice_recommendation").isin("HIGH", "LOCK")]
-    n = sum((F.coalesce(v, F.lit(False)).cast("int") for v in votes), F.lit(0))
-    return predictions.select("id", n.alias("n_agree")).where(F.col("n_agree") >= at_least)
+def consensus(predictions: DataFrame, at_least: int = 3, since: str | None = None) -> DataFrame:
+    """Qualified predictions (from `since` on) on which at_least sources agree about the home side: how many and which. Fans agree if
+    their votes for the home side are more than for the guests."""
+    votes = {"h2h": F.col("h2h_win_rate") >= 60, "tips": F.col("tip_prediction") == "1", "fans": F.col("fan_home_win_prob") > F.col("fan_away_win_prob"), "advice": F.col("advice_recommendation").isin("HIGH", "LOCK")}
+    agree = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in votes.items())), lambda x: x.isNotNull())
+    rows = predictions.where("qualifies") if since is None else predictions.where(F.col("qualifies") & (F.col("match_date") >= F.expr(since)))
+    return rows.select("id", F.size(agree).alias("n_agree"), F.array_join(agree, ",").alias("sources")).where(F.col("n_agree") >= at_least)
 
 
-def value_bets(predictions: DataFrame, min_edge: float = 0.05) -> DataFrame:
-    """Outcomes whose fan-vote share, normalised, beats the odds by min_edge: edge, expected value of a unit stake."""
-    total = F.col("fan_home_win_prob") + F.col("fan_draw_prob") + F.col("fan_away_win_prob")
-    of = lambda o, p, odds: F.struct(F.lit(o).alias("outcome"), (F.col(p).cast("double") / total).alias("probability"), F.col(odds).cast("double").alias("odds"))
-    each = F.explode(F.array(of("1", "fan_home_win_prob", "tip_home_odds"), of("X", "fan_draw_prob", "tip_draw_odds"), of("2", "fan_away_win_prob", "tip_away_odds")))
-    got = predictions.where(total > 0).select("id", each.alias("e")).select("id", "e.*").where((F.col("odds") > 0) & (F.col("odds") <= 100))
+def blended(predictions: DataFrame) -> DataFrame:
+    """predictions with p1, px and p2, which add up to 1: means over the sources that speak. A tip gives its outcome its probability and
+    splits the rest; fans give their shares (0.25 for a missing or zero draw, 0.35 for guests); the rate of past meetings (50 where
+    unknown, none where 0) counts for the focus side, 1 - rate - 0.1 for the other, 0.25 for a draw."""
+    tip, p = F.col("tip_prediction"), F.coalesce("tip_probability", F.lit(50)) / 100
+    home, draw, away = (F.col(f"fan_{s}") / 100 for s in ("home_win_prob", "draw_prob", "away_win_prob"))
+    fans = F.col("fan_home_win_prob") > 0
+    rate, focus = F.coalesce("h2h_win_rate", F.lit(50)) / 100, F.coalesce("focus_team", F.lit("home")) == "home"
+    past = rate > 0
+    or_ = lambda x, default: F.when(x > 0, x).otherwise(default)
+    sources = {
+        "p1": (F.when(tip == "1", p).when(tip == "2", (1 - p) * 0.6).when(tip == "X", (1 - p) * 0.5), F.when(fans, home), F.when(past, F.when(focus, rate).otherwise(1 - rate - 0.1))),
+        "px": (F.when(tip == "X", p).when(tip.isNotNull(), (1 - p) * 0.4), F.when(fans, or_(draw, 0.25)), F.when(past, 0.25)),
+        "p2": (F.when(tip == "2", p).when(tip == "1", (1 - p) * 0.6).when(tip == "X", (1 - p) * 0.5), F.when(fans, or_(away, 0.35)), F.when(past, F.when(focus, 1 - rate - 0.1).otherwise(rate))),
+    }
+    mean = lambda xs: F.coalesce(sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0)) / F.nullif(sum((x.isNotNull().cast("int") for x in xs), F.lit(0)), F.lit(0)), F.lit(0.33))
+    got = predictions.withColumns({k: mean(xs) for k, xs in sources.items()})
+    total = F.col("p1") + F.col("px") + F.col("p2")
+    return got.withColumns({k: F.when(total > 0, F.col(k) / total).otherwise(F.col(k)) for k in sources})
+
+
+def value_bets(predictions: DataFrame, min_edge: float = 0.02) -> DataFrame:
+    """Outcomes whose blended probability beats the odds' by min_edge: edge, expected value of a unit stake."""
+    of = lambda o, p, odds: F.struct(F.lit(o).alias("outcome"), F.col(p).alias("probability"), F.col(odds).cast("double").alias("odds"))
+    each = F.explode(F.array(of("1", "p1", "tip_home_odds"), of("X", "px", "tip_draw_odds"), of("2", "p2", "tip_away_odds")))
+    got = blended(predictions).select("id", each.alias("e")).select("id", "e.*").where((F.col("odds") > 0) & (F.col("odds") <= 100))
     got = got.withColumns({"edge": F.round(F.col("probability") - 1 / F.col("odds"), 6), "ev": F.round(F.col("probability") * F.col("odds") - 1, 6)})
     return got.where(F.col("edge") >= min_edge).select("id", "outcome", "odds", "edge", "ev")
 
 
-_STRATEGY = """SELECT id, match_url, sport, CASE WHEN b THEN 'BEST_PICK' WHEN s THEN 'HIGH_CONFIDENCE' WHEN v THEN 'VALUE_PLAY' WHEN l THEN 'LOCKED_PICK' END AS strategy, CASE WHEN b THEN 1 WHEN s THEN 2 WHEN v THEN 3 WHEN l THEN 4 END AS priority, advice_confidence FROM (SELECT *,
- advice_recommendation = 'HIGH' AND advice_confidence >= 80 AND h2h_win_rate >= 60 AND (tip_probability > 60 OR tip_probability IS NULL) AS b, advice_confidence >= 85 AND advice_recommendation IN ('HIGH', 'MEDIUM') AS s,
- focus_team = 'away' AND (tip_away_odds BETWEEN 1.80 AND 3.50 OR tip_away_odds IS NULL) AND advice_confidence >= 70 AS v, advice_recommendation = 'LOCK' AS l FROM <predictions> p) q WHERE b OR s OR v OR l"""
+_MET = """(SELECT id, match_url, sport, advice_confidence, s.strategy, s.priority, s.place FROM <predictions> p JOIN (VALUES ('BEST_PICK', 1, 0), ('HIGH_CONFIDENCE', 2, 1), ('VALUE_PLAY', 3, 2), ('LOCKED_PICK', 1, 3)) AS s(strategy, priority, place) ON CASE s.strategy
+ WHEN 'BEST_PICK' THEN advice_recommendation = 'HIGH' AND advice_confidence >= 80 AND h2h_win_rate >= 60 AND (tip_probability > 60 OR tip_probability IS NULL)
+ WHEN 'HIGH_CONFIDENCE' THEN advice_confidence >= 85 AND advice_recommendation IN ('HIGH', 'MEDIUM')
+ WHEN 'VALUE_PLAY' THEN focus_team = 'away' AND advice_confidence >= 70 AND h2h_win_rate >= 60 AND (tip_away_odds IS NULL OR (tip_away_odds >= 1.80 AND tip_away_odds <= 3.50))
+ ELSE h2h_win_rate >= 80 AND advice_confidence >= 70 AND advice_recommendation IS DISTINCT FROM 'SKIP' AND (tip_probability >= 65 OR tip_probability IS NULL) END)"""
+_STRATEGY = f"SELECT id, match_url, sport, strategy, priority, advice_confidence FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_url ORDER BY priority, place, id) AS n FROM {_MET} m) k WHERE n = 1"
+_MEANS = """(SELECT *, CASE WHEN t > 0 THEN m1 / t ELSE m1 END AS p1, CASE WHEN t > 0 THEN mx / t ELSE mx END AS px, CASE WHEN t > 0 THEN m2 / t ELSE m2 END AS p2 FROM (SELECT *, m1 + mx + m2 AS t FROM (
+ SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, COALESCE(AVG(p1), 0.33) AS m1, COALESCE(AVG(px), 0.33) AS mx, COALESCE(AVG(p2), 0.33) AS m2 FROM (
+  SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, CASE tip_prediction WHEN '1' THEN q WHEN '2' THEN (1 - q) * 0.6 WHEN 'X' THEN (1 - q) * 0.5 END AS p1, CASE tip_prediction WHEN 'X' THEN q WHEN '1' THEN (1 - q) * 0.4 WHEN '2' THEN (1 - q) * 0.4 END AS px,
+   CASE tip_prediction WHEN '2' THEN q WHEN '1' THEN (1 - q) * 0.6 WHEN 'X' THEN (1 - q) * 0.5 END AS p2 FROM (SELECT *, CAST(COALESCE(tip_probability, 50) AS DOUBLE) / 100 AS q FROM <predictions> a) b
+  UNION ALL SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, CASE WHEN fan_home_win_prob > 0 THEN CAST(fan_home_win_prob AS DOUBLE) / 100 END, CASE WHEN fan_home_win_prob > 0 THEN CASE WHEN fan_draw_prob > 0 THEN CAST(fan_draw_prob AS DOUBLE) / 100 ELSE 0.25 END END,
+   CASE WHEN fan_home_win_prob > 0 THEN CASE WHEN fan_away_win_prob > 0 THEN CAST(fan_away_win_prob AS DOUBLE) / 100 ELSE 0.35 END END FROM <predictions> c
+  UNION ALL SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, CASE WHEN r > 0 THEN CASE WHEN focus_team = 'home' THEN r ELSE 1 - r - 0.1 END END, CASE WHEN r > 0 THEN 0.25 END, CASE WHEN r > 0 THEN CASE WHEN focus_team = 'home' THEN 1 - r - 0.1 ELSE r END END
+   FROM (SELECT *, CAST(COALESCE(h2h_win_rate, 50) AS DOUBLE) / 100 AS r FROM <predictions> d) e) f GROUP BY id, tip_home_odds, tip_draw_odds, tip_away_odds) g) h)"""
 QUERIES = {
     "pick_strategies": (lambda t: strategies(t.predictions), _STRATEGY),
+    "strategy_rows": (lambda t: matched(t.predictions).select("id", "strategy", "priority"), f"SELECT id, strategy, priority FROM {_MET} m"),
     "top_picks_by_sport": (lambda t: top_by_sport(t.predictions), f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sport ORDER BY priority, advice_confidence DESC, match_url) AS rank FROM ({_STRATEGY}) a) b WHERE rank <= 10"),
     "consensus_picks": (
-        lambda t: consensus(t.predictions),
-        "SELECT id, n_agree FROM (SELECT id, COALESCE(CAST(h2h_win_rate >= 60 AS INTEGER), 0) + COALESCE(CAST(tip_prediction = '1' AS INTEGER), 0) + COALESCE(CAST(fan_home_win_prob >= 45 AS INTEGER), 0) + COALESCE(CAST(advice_recommendation IN ('HIGH', 'LOCK') AS INTEGER), 0) AS n_agree FROM <predictions> p) q WHERE n_agree >= 3",
+        lambda t: consensus(t.predictions, since="DATE '1999-01-01'"),
+        """SELECT id, CAST(h + t + f + a AS INTEGER) AS n_agree, concat_ws(',', CASE WHEN h = 1 THEN 'h2h' END, CASE WHEN t = 1 THEN 'tips' END, CASE WHEN f = 1 THEN 'fans' END, CASE WHEN a = 1 THEN 'advice' END) AS sources FROM (
+ SELECT id, CASE WHEN h2h_win_rate >= 60 THEN 1 ELSE 0 END AS h, CASE WHEN tip_prediction = '1' THEN 1 ELSE 0 END AS t, CASE WHEN fan_home_win_prob > fan_away_win_prob THEN 1 ELSE 0 END AS f, CASE WHEN advice_recommendation IN ('HIGH', 'LOCK') THEN 1 ELSE 0 END AS a
+ FROM <predictions> p WHERE qualifies AND match_date >= DATE '1999-01-01') q WHERE h + t + f + a >= 3""",
+    ),
+    "blended_probabilities": (
+        lambda t: blended(t.predictions).select("id", *(F.round(c, 6).alias(c) for c in ("p1", "px", "p2"))),
+        f"SELECT id, ROUND(p1, 6) AS p1, ROUND(px, 6) AS px, ROUND(p2, 6) AS p2 FROM {_MEANS} m",
     ),
     "value_bets": (
         lambda t: value_bets(t.predictions),
-        """SELECT id, outcome, odds, edge, ev FROM (SELECT id, outcome, odds, ROUND(probability - 1 / odds, 6) AS edge, ROUND(probability * odds - 1, 6) AS ev FROM (SELECT p.id, o.outcome,
- CAST(CASE o.outcome WHEN '1' THEN fan_home_win_prob WHEN 'X' THEN fan_draw_prob ELSE fan_away_win_prob END AS DOUBLE) / (fan_home_win_prob + fan_draw_prob + fan_away_win_prob) AS probability,
- CAST(CASE o.outcome WHEN '1' THEN tip_home_odds WHEN 'X' THEN tip_draw_odds ELSE tip_away_odds END AS DOUBLE) AS odds
- FROM <predictions> p CROSS JOIN (VALUES ('1'), ('X'), ('2')) AS o(outcome) WHERE fan_home_win_prob + fan_draw_prob + fan_away_win_prob > 0) q WHERE odds > 0 AND odds <= 100) r WHERE edge >= 0.05""",
+        f"""SELECT id, outcome, odds, edge, ev FROM (SELECT id, outcome, odds, ROUND(probability - 1 / odds, 6) AS edge, ROUND(probability * odds - 1, 6) AS ev FROM (SELECT id, o.outcome, CASE o.outcome WHEN '1' THEN p1 WHEN 'X' THEN px ELSE p2 END AS probability,
+ CAST(CASE o.outcome WHEN '1' THEN tip_home_odds WHEN 'X' THEN tip_draw_odds ELSE tip_away_odds END AS DOUBLE) AS odds FROM {_MEANS} m CROSS JOIN (VALUES ('1'), ('X'), ('2')) AS o(outcome)) q WHERE odds > 0 AND odds <= 100) r WHERE edge >= 0.02""",
     ),
 }
