@@ -3,8 +3,8 @@
 Documents become token ids; those above the sequence length are cut into full pieces and a rest. The histogram of piece lengths has
 max_tokens bins at most, so it fits on the driver at any corpus size. Lengths are placed longest first, each into the pattern with
 the fewest tokens that still leaves room; one piece goes to each sequence of the pattern at once, which splits a pattern's count when it
-has more sequences than the bin has pieces left. Each (length, place in a pattern) then owns a range of ranks among the pieces of that
-length, and a piece finds its sequence by its rank. The task that cuts a text numbers its pieces of each length; the numbers of pieces
+has more sequences than the bin has pieces left. Each step so takes a range of ranks among the pieces of a length to a range of
+sequences, and a piece finds its sequence by its rank. The task that cuts a text numbers its pieces of each length; the numbers of pieces
 that other tasks have before it are summed per length, so no length is gathered or sorted.
 """
 
@@ -120,61 +120,57 @@ def cut(docs: DataFrame, path: str, end: int = END, max_tokens: int = MAX_TOKENS
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def fill(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns: (how many sequences have it, its runs (length, times), longest first). Shortest-pack-first: of the sequences with room,
-    the one with the fewest tokens takes the next piece. A new sequence, made where none has room, is then the only one that has some,
-    and takes pieces of the same length until it has none."""
-    open_at: dict[int, list[list]] = {}  # tokens so far -> patterns [count, runs]
+def assign(histogram: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first, sequence, offset, times, n): the n pieces of a length from rank `first` on go to the sequences from `sequence` on,
+    `times` to each, at `offset`. Shortest-pack-first: of the sequences with room, the one with the fewest tokens takes the next piece.
+    A new sequence, made where none has room, is then the only one that has some, and takes pieces of the same length until it has none.
+    Sequences with equal tokens are ranges of numbers, so a step has one row, whatever their earlier pieces."""
+    open_at: dict[int, list[tuple[int, int]]] = {}  # tokens so far -> ranges (first sequence, how many)
     fills: list[int] = []
-    done: list[tuple[int, list[tuple[int, int]]]] = []
+    rows, made = [], 0
 
-    def put(tokens: int, count: int, runs: list[tuple[int, int]]) -> None:
+    def put(tokens: int, first: int, count: int) -> None:
         if tokens == max_tokens:
-            done.append((count, runs))
             return
         if tokens not in open_at:
             bisect.insort(fills, tokens)
             open_at[tokens] = []
-        open_at[tokens].append([count, runs])
+        ranges = open_at[tokens]
+        if ranges and sum(ranges[-1]) == first:
+            ranges[-1] = (ranges[-1][0], ranges[-1][1] + count)
+        else:
+            ranges.append((first, count))
 
     for length in sorted(histogram, reverse=True):
-        left = histogram[length]
+        left, rank = histogram[length], 0
         while left:
             if fills and fills[0] + length <= max_tokens:
                 tokens = fills[0]
-                count, runs = open_at[tokens].pop()
+                first, count = open_at[tokens].pop()
                 if not open_at[tokens]:
                     del open_at[tokens]
                     fills.pop(0)
-                took = min(count, left)
-                if took < count:
-                    put(tokens, count - took, runs)
-                put(tokens + length, took, [*runs[:-1], (length, runs[-1][1] + 1)] if runs[-1][0] == length else [*runs, (length, 1)])
-                left -= took
+                n = min(count, left)
+                if n < count:
+                    put(tokens, first + n, count - n)
+                put(tokens + length, first, n)
+                rows.append((length, rank, first, tokens, 1, n))
             else:
                 times = min(max_tokens // length, left)
-                took = left // times
-                put(times * length, took, [(length, times)])
-                left -= took * times
-    for tokens in fills:
-        done += [(count, runs) for count, runs in open_at[tokens]]
-    return done
-
-
-def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
-    """The ranges of ranks, sorted by (length, first rank): a piece whose rank is first + k of a run of times pieces in each of count
-    sequences is in sequence + k // times, at offset + length * (k % times)."""
-    rows, used, sequence = [], {}, 0
-    for count, runs in patterns:
-        offset = 0
-        for length, times in runs:
-            first = used.get(length, 0)
-            rows.append((length, first, sequence, offset, times))
-            used[length] = first + count * times
-            offset += length * times
-        sequence += count
-    rows.sort()
-    return dict(zip(("length", "first", "sequence", "offset", "times"), np.array(rows or np.empty((0, 5)), np.int64).T, strict=True))
+                count = left // times
+                put(times * length, made, count)
+                n = count * times
+                rows.append((length, rank, made, 0, times, n))
+                made += count
+            rank += n
+            left -= n
+    return rows
+
+
+def places(rows: list[tuple[int, int, int, int, int, int]]) -> dict[str, np.ndarray]:
+    """The ranges of ranks, sorted by (length, first rank): a piece whose rank is first + k is in sequence + k // times, at
+    offset + length * (k % times)."""
+    return dict(zip(("length", "first", "sequence", "offset", "times"), np.array([r[:5] for r in sorted(rows)] or np.empty((0, 5)), np.int64).T, strict=True))
 
 
 def pack(docs: DataFrame, path: str, end: int = END, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -186,7 +182,7 @@ def pack(docs: DataFrame, path: str, end: int = END, max_tokens: int = MAX_TOKEN
     pieces = stored(cut(docs, path, end, max_tokens))
     counts = stored(pieces.groupBy("length", "task").agg(F.max("nth").alias("n")).withColumn("n", F.col("n") + 1))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
-    at = docs.sparkSession.sparkContext.broadcast(places(fill(histogram, max_tokens)))
+    at = docs.sparkSession.sparkContext.broadcast(places(assign(histogram, max_tokens)))
     before = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     ranked = pieces.join(before, ["length", "task"]).select(*columns, (F.col("before") + F.col("nth")).alias("rank"))

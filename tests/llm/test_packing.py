@@ -11,17 +11,27 @@ from matchlake.llm import packing as K
 PATH = P.path("word_bpe_49k.json")
 
 
-def test_fill_uses_each_length_once():
+def fills(rows):
+    """The tokens of each sequence; pieces lie one after another."""
+    out = Counter()
+    for length, _, sequence, offset, times, n in sorted(rows, key=lambda r: -r[0]):
+        for k in range(n):
+            assert out[sequence + k // times] == offset + length * (k % times)
+            out[sequence + k // times] += length
+    assert sorted(out) == list(range(len(out)))
+    return sorted(out.values())
+
+
+def test_assign_uses_each_length_once():
     r = random.Random(3)
     for top in (16, 100, 4096):
         h = {r.randint(1, top): r.randint(1, 50) for _ in range(60)}
-        used = Counter()
-        for count, runs in K.fill(h, top):
-            assert count > 0 and sum(a * b for a, b in runs) <= top
-            for a, b in runs:
-                used[a] += b * count
-        assert used == Counter(h)
-    assert K.fill({}) == []
+        used, rows = Counter(), K.assign(h, top)
+        for length, first, _, _, _, n in sorted(rows):
+            assert first == used[length] and n > 0
+            used[length] += n
+        assert used == Counter(h) and max(fills(rows)) <= top
+    assert K.assign({}) == []
 
 
 def strict(histogram, top):
@@ -37,13 +47,12 @@ def strict(histogram, top):
     return sorted(open_)
 
 
-def test_fill_as_strict_shortest_pack_first():
+def test_assign_as_strict_shortest_pack_first():
     r = random.Random(5)
     for top in (7, 16, 100):
         for _ in range(60):
             h = {r.randint(1, top): r.randint(1, 40) for _ in range(r.randint(1, 12))}
-            got = sorted(x for count, runs in K.fill(h, top) for x in [sum(a * b for a, b in runs)] * count)
-            assert got == strict(h, top)
+            assert fills(K.assign(h, top)) == strict(h, top)
 
 
 def packed(rows):
