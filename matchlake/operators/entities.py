@@ -1,7 +1,7 @@
 """Which predicted match a result belongs to, where team names are written differently.
 
-Names are resolved first: the distinct names of both sides, a small dictionary at any number of matches, meet by shared letter pairs
-and are scored once. Matches then join on equal keys.
+Names are resolved first: the distinct pairs of names that meet in a sport and on a day, few beside the matches, are scored once; only
+pairs whose lengths rule the likeness out aren't. Matches then join on equal keys.
 """
 
 from __future__ import annotations
@@ -31,11 +31,16 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(left_name, right_name, likeness) of distinct plain names of left(name) and right(name) that are alike to `least` or more. Only
-    names with a letter pair in common are scored; empty names match none."""
-    pairs = lambda df, c: df.where("name <> ''").distinct().select(F.col("name").alias(c), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(2))))).alias("pair"))
-    met = pairs(left, "left_name").join(pairs(right, "right_name"), "pair").select("left_name", "right_name").distinct()
+def possible(a: Column, b: Column, least: float) -> Column:
+    """Whether the ratio of two names can reach `least`: it is twice the matching characters over all of both, and no more of them match
+    than the shorter name has."""
+    return (a != "") & (b != "") & (F.least(F.length(a), F.length(b)) * 2 >= least * (F.length(a) + F.length(b)))
+
+
+def similar_names(pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(left_name, right_name, likeness): those of pairs(left_name, right_name) of plain names that are alike to `least` or more. Empty
+    names match none."""
+    met = pairs.where(possible(F.col("left_name"), F.col("right_name"), least)).distinct()
     return met.withColumn("likeness", ratio("left_name", "right_name")).where(F.col("likeness") >= least)
 
 
@@ -44,8 +49,8 @@ def match_results(results: DataFrame, predictions: DataFrame, least: float = SIM
     or more; ties go to the smallest id. Results without one, or with nulls in a key, are left out."""
     sides = lambda df, i: df.select(F.col(i), "sport", "match_date", plain_name(F.col("home_team")).alias("home"), plain_name(F.col("away_team")).alias("away"))
     r, p = sides(results, "result_id"), sides(predictions, "id")
-    names = lambda df: df.select(F.explode(F.array("home", "away")).alias("name"))
-    alike = similar_names(names(r), names(p), least)
+    met = r.join(p.withColumnsRenamed({"home": "home_p", "away": "away_p"}), ["sport", "match_date"])
+    alike = similar_names(met.select(F.explode(F.array(*(F.struct(F.col(s).alias("left_name"), F.col(f"{s}_p").alias("right_name")) for s in ("home", "away")))).alias("n")).select("n.*"), least)
     known = lambda side: alike.select(F.col("left_name").alias(side), F.col("right_name").alias(f"{side}_p"), F.col("likeness").alias(f"{side}_like"))
     met = r.join(known("home"), "home").join(known("away"), "away").select("result_id", "sport", "match_date", "home_p", "away_p", (F.col("home_like") + F.col("away_like")).alias("likeness"))
     met = met.join(p.withColumnsRenamed({"home": "home_p", "away": "away_p"}), ["sport", "match_date", "home_p", "away_p"])
