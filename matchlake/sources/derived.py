@@ -60,6 +60,10 @@ class Tables:
             text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
         return self.spark.sql(text, **{n: v for n, v in views.items() if f"{{{n}}}" in text})
 
+    def rows(self, sql: str) -> DataFrame:
+        """SQL over <matches>, <predictions>, <bets> and <as_of>."""
+        return self._sql(filled(sql))
+
     @cached_property
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
