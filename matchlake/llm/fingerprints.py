@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SAMPLES = 32
-#: Null doc_ids are dealt by their text over so many keys, the least of all longs, which are no doc_ids.
+#: Null doc_ids are dealt by their text over so many keys (a power of two), the least of all longs, which are no doc_ids.
 NO_IDS, LEAST = 65_536, -(1 << 63)
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -42,9 +42,10 @@ def edited(docs: DataFrame) -> DataFrame:
     The last half of the code points gives way to the first as many of the next document (all, if it has fewer). Of several texts of
     one doc_id, the least part counts as the next document. Without doc_id nothing follows. Texts are shuffled by doc_id, and of each
     again as much as the document before it needs, for the lengths are known beforehand."""
-    docs = docs.select(F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(NO_IDS)) + F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(NO_IDS - 1) + F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     order = followed(docs.select(id_of("key").alias("doc_id"), F.length("text").alias("n")))
-    docs = docs.repartition("key")  # once for all that follows: no key is null, so both branches below read the same shuffle
+    # once for all that follows: to the planner, too, no key can be null (a remainder could), so both branches below read the same shuffle
+    docs = docs.repartition("key")
     before = order.select(F.col("next_id").alias("key"), F.col("doc_id").alias("before_id"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     heads = docs.join(before, "key").groupBy(F.col("before_id").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("need"))).alias("head"))
     half = F.floor(F.length("text") / 2).cast("int")
