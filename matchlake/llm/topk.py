@@ -38,10 +38,11 @@ def slices_of(ints: np.ndarray) -> tuple[np.ndarray, int]:
 
 def added(levels: dict[int, np.ndarray]) -> list[np.ndarray]:
     """Slices of the rows' sums, lowest first; levels: stacks of bitmaps by the power of two that they count."""
+    zero = np.zeros((1, next(iter(levels.values())).shape[1]), np.uint64)
     out, carried, at = [], [], 0
-    while at <= max(levels, default=-1) or carried:
-        stack = np.concatenate([*([levels[at]] if at in levels else []), *carried]) if at in levels or carried else np.zeros((1, next(iter(levels.values())).shape[1]), np.uint64)
-        carried = []
+    while at <= max(levels) or carried:
+        stack = np.concatenate([levels.get(at, zero[:0]), *carried])
+        stack, carried = stack if len(stack) else zero, []
         while len(stack) > 1:
             third = max(1, len(stack) // 3)
             a, b = stack[:third], stack[third : 2 * third]
