@@ -1,7 +1,7 @@
 """Which predicted match a result belongs to, where team names are written differently.
 
-Names are resolved first: the distinct pairs of names that meet in a sport and on a day, few beside the matches, are scored once; only
-pairs whose lengths rule the likeness out aren't. Matches then join on equal keys.
+Names are resolved first: pairs of a sport's distinct names, few beside the matches, that an index proposes are scored once. Matches then
+join on equal keys.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters with a mark and those they are written as without it, one for one.
-MARKED, PLAIN = "ąćęłńóśźżàáâãäåèéêëìíîïòôõöøùúûüýñçšžč", "acelnoszzaaaaaaeeeeiiiiooooouuuuyncszc"
+from matchlake.functions.name_keys import proposed
+
+# Letters with a mark and those they are written as without it, one for one, and those that take two.
+MARKED, PLAIN = "ąćęłńóśźżàáâãäåèéêëìíîïòôõöøùúûüýñçšžčřďťňőűðğış", "acelnoszzaaaaaaeeeeiiiiooooouuuuyncszcrdtnoudgis"
+WIDE = (("ß", "ss"), ("æ", "ae"), ("þ", "th"))
 SIMILAR = 0.6
 #: Days around a match's date, in the order of preference.
 OFFSETS = (0, -1, 1, -2, 2, -3, 3)
@@ -37,22 +40,22 @@ def possible(a: Column, b: Column, least: float) -> Column:
     return (a != "") & (b != "") & (F.least(F.length(a), F.length(b)) * 2 >= least * (F.length(a) + F.length(b)))
 
 
-def similar_names(pairs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(left_name, right_name, likeness): those of pairs(left_name, right_name) of plain names that are alike to `least` or more. Empty
-    names match none."""
-    met = pairs.where(possible(F.col("left_name"), F.col("right_name"), least)).distinct()
-    return met.withColumn("likeness", ratio("left_name", "right_name")).where(F.col("likeness") >= least)
+def similar_names(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(sport, left_name, right_name, likeness): pairs of plain names of left(sport, name) and right that are alike to `least` or more.
+    An index proposes them. Empty names match none."""
+    met = proposed(left, right, least).select("sport", F.col("a").alias("left_name"), F.col("b").alias("right_name"))
+    return met.where(possible(F.col("left_name"), F.col("right_name"), least)).withColumn("likeness", ratio("left_name", "right_name")).where(F.col("likeness") >= least)
 
 
 def match_results(results: DataFrame, predictions: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(result_id, id, likeness): of each result, the prediction of the same sport and day whose teams are most alike, both to `least`
     or more; ties go to the smallest id. Results without one, or with nulls in a key, are left out."""
     sides = lambda df, i: df.select(F.col(i), "sport", "match_date", plain_name(F.col("home_team")).alias("home"), plain_name(F.col("away_team")).alias("away"))
+    names = lambda df: df.select("sport", F.explode(F.array("home", "away")).alias("name"))
     r, p = sides(results, "result_id"), sides(predictions, "id")
-    met = r.join(p.withColumnsRenamed({"home": "home_p", "away": "away_p"}), ["sport", "match_date"])
-    alike = similar_names(met.select(F.explode(F.array(*(F.struct(F.col(s).alias("left_name"), F.col(f"{s}_p").alias("right_name")) for s in ("home", "away")))).alias("n")).select("n.*"), least)
-    known = lambda side: alike.select(F.col("left_name").alias(side), F.col("right_name").alias(f"{side}_p"), F.col("likeness").alias(f"{side}_like"))
-    met = r.join(known("home"), "home").join(known("away"), "away").select("result_id", "sport", "match_date", "home_p", "away_p", (F.col("home_like") + F.col("away_like")).alias("likeness"))
+    alike = similar_names(names(r), names(p), least)
+    known = lambda side: alike.select("sport", F.col("left_name").alias(side), F.col("right_name").alias(f"{side}_p"), F.col("likeness").alias(f"{side}_like"))
+    met = r.join(known("home"), ["sport", "home"]).join(known("away"), ["sport", "away"]).select("result_id", "sport", "match_date", "home_p", "away_p", (F.col("home_like") + F.col("away_like")).alias("likeness"))
     met = met.join(p.withColumnsRenamed({"home": "home_p", "away": "away_p"}), ["sport", "match_date", "home_p", "away_p"])
     return met.groupBy("result_id").agg(F.max_by(F.struct("id", "likeness"), F.struct("likeness", -F.col("id"))).alias("m")).select("result_id", "m.id", (F.col("m.likeness") / 2).alias("likeness"))
 

