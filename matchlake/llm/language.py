@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import fold, map_texts, parts_of, stored, table
 
-#: Labelled text: at most so many bytes of each language, from so many documents, and so many languages, those with most documents.
-#: The only sample; predictions read whole texts. The automata of all languages take 5 MB for each at most.
-BYTES_PER_LANGUAGE = 14_000
+#: Labelled text: at most so many bytes of each language, from so many documents. More than 100 languages share the bytes of 100, with
+#: FEWEST at least of each; none is left out. The only sample; predictions read whole texts. A byte takes some 500 in an automaton.
+BYTES_PER_LANGUAGE, FEWEST = 14_000, 500
 DOCUMENTS_PER_LANGUAGE = 64
-LANGUAGES = 100
-#: Bytes parsed without a break.
-WINDOW = 1024
+#: Bytes parsed without a break; windows of all languages that are parsed at once.
+WINDOW, AT_ONCE = 1024, 1 << 19
+#: This bit of a state tells that a phrase ended.
+ENDED = 1 << 31
 LETTER = regex.compile(r"\p{L}")
 #: Signs and digits say nothing about the language.
 SIGNS = bytes(b for b in range(128) if not chr(b).isalpha() and b != 32)
@@ -67,7 +68,7 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 @dataclass
 class Languages:
     """Automata of all languages as one table: move[base[l] + state * width + class of the byte] has the next state below the
-    highest bit; that bit tells that a phrase ended and the next began with this byte."""
+    highest of 32 bits; that bit tells that a phrase ended and the next began with this byte."""
 
     names: list[str]
     classes: np.ndarray
@@ -77,66 +78,76 @@ class Languages:
     weight: np.ndarray
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases needed, for each text and language."""
-        owner = [i for i, t in enumerate(texts) for _ in range(0, len(t), WINDOW)]
-        sizes = np.array([min(WINDOW, len(t) - s) for t in texts for s in range(0, len(t), WINDOW)], np.int64)
+        """Phrases needed, for each text and language. Whatever the texts' lengths, AT_ONCE windows are held at a time."""
         out = np.zeros((len(texts), len(self.names)))
-        if not owner:
-            return out
+        most, held = max(1, AT_ONCE // max(1, len(self.names))), []
+        for i, t in enumerate(texts):
+            for s in range(0, len(t), WINDOW):
+                held.append((i, t[s : s + WINDOW]))
+                if len(held) == most:
+                    self.add_phrases(held, out)
+                    held = []
+        if held:
+            self.add_phrases(held, out)
+        return out
+
+    def add_phrases(self, windows: list[tuple[int, bytes]], out: np.ndarray) -> None:
+        """Adds the phrases of windows to the rows of out that they belong to."""
+        owner, sizes = np.array([i for i, _ in windows]), np.array([len(w) for _, w in windows], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        data = np.concatenate([self.classes[np.frombuffer(t, np.uint8)] for t in texts if t] + [np.zeros(1, np.uint8)])
+        data = self.classes[np.frombuffer(b"".join(w for _, w in windows), np.uint8)]
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])[order]
         sizes = sizes[order]
         live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(WINDOW), "right")  # windows longer than each step
-        state = np.zeros((len(self.names), len(sizes)), np.uint32)
+        state = np.zeros((len(self.names), len(sizes)), np.int64)
         count = np.ones((len(self.names), len(sizes)), np.uint32)
-        base = self.base[:, None].astype(np.uint32)
+        base = self.base[:, None]
         for step in range(int(sizes[0])):
             n = live[step]
-            at = state[:, :n] * np.uint32(self.width)
+            at = state[:, :n] * self.width
             at += base
             at += data[begins[:n] + step]
             got = self.move[at]
-            count[:, :n] += got >> 15
-            state[:, :n] = got & 0x7FFF
-        np.add.at(out, np.array(owner)[order], count.T)
-        return out
+            count[:, :n] += got >> np.uint32(31)
+            state[:, :n] = got & np.uint32(ENDED - 1)
+        np.add.at(out, owner[order], count.T)
 
 
 def learn(samples: list[tuple[str, bytes]]) -> Languages:
-    """samples: a name and its labelled text, already lowered, for each language; under 16,383 bytes each, so states fit in 15 bits."""
+    """samples: a name and its labelled text, already lowered, for each language."""
     used = sorted({b for _, t in samples for b in t})
     classes = np.zeros(256, np.uint8)
     classes[used] = np.arange(1, len(used) + 1)
     width, tables = len(used) + 1, []
     for _, t in samples:
         moves = suffix_automaton(t)
-        x = np.zeros((len(moves) + 1, width), np.uint16)
+        x = np.zeros((len(moves) + 1, width), np.uint32)
         for state, to in enumerate(moves):
             for c, s in to.items():
                 x[state, classes[c]] = s
         # where no longer match goes on, the phrase ends and the byte begins the next; an unknown byte is a phrase, after which the
         # last state waits for the next one
         x[0] = np.where(x[0] == 0, len(moves), x[0])
-        x[1:] = np.where(x[1:] == 0, x[0] | 0x8000, x[1:])
+        x[1:] = np.where(x[1:] == 0, x[0] | np.uint32(ENDED), x[1:])
         tables.append(x)
     sizes = [x.size for x in tables]
-    return Languages([n for n, _ in samples], classes, width, np.cumsum([0, *sizes[:-1]]), np.concatenate([x.ravel() for x in tables]) if tables else np.zeros(0, np.uint16), np.array([np.log2(max(2, len(t))) for _, t in samples]))
+    return Languages([n for n, _ in samples], classes, width, np.cumsum([0, *sizes[:-1]]), np.concatenate([x.ravel() for x in tables]) if tables else np.zeros(0, np.uint32), np.array([np.log2(max(2, len(t))) for _, t in samples]))
 
 
-def sample(docs: DataFrame, folds: int = 3, held_out: int | None = 1, bytes_per_language: int = BYTES_PER_LANGUAGE, documents_per_language: int = DOCUMENTS_PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, folds: int = 3, held_out: int | None = 1, bytes_per_language: int = BYTES_PER_LANGUAGE, documents_per_language: int = DOCUMENTS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
     """Labelled text of each language: documents_per_language documents, in the order of a hash of doc_id, and of each as much as their
-    number asks for, in four parts at hashed places. A lang that is null doesn't count, nor does a document without letters; of more
-    languages than `languages`, those with most documents count. Of rows that repeat a doc_id, one."""
+    number asks for, in four parts at hashed places. A lang that is null doesn't count, nor does a document without letters. All languages
+    count; see FEWEST. Of rows that repeat a doc_id, one."""
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     if held_out is not None:
         ok = ok.where(fold("doc_id", folds) != held_out)
     ids = stored(ok.groupBy("lang", "doc_id").agg(F.count("*").alias("rows")))
-    most = ids.groupBy("lang").agg(F.count("*").alias("n_docs")).orderBy(F.desc("n_docs"), "lang").limit(languages)
-    first = ids.join(F.broadcast(most), "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= documents_per_language)
+    most = stored(ids.groupBy("lang").agg(F.count("*").alias("n_docs")))
+    bytes_per_language = max(min(bytes_per_language, FEWEST), min(bytes_per_language, 100 * bytes_per_language // max(1, most.count())))
+    first = ids.join(most, "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= documents_per_language)
     need = F.ceil(F.lit(1.5 * bytes_per_language / 4) / F.least("n_docs", F.lit(documents_per_language))).cast("int")
-    first = first.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "n", need.alias("need"))  # languages * documents_per_language rows
-    mine = ok.join(F.broadcast(first), (F.col("lang") == F.col("l")) & (F.col("doc_id") == F.col("d")))
+    first = first.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "n", need.alias("need"))
+    mine = ok.join(first, (F.col("lang") == F.col("l")) & (F.col("doc_id") == F.col("d")))
     parts: dict[str, list[bytes]] = {}
     for r in mine.groupBy("lang", "n").agg(F.min(parts_of(F.col("text"), F.col("doc_id"), 4, F.col("need"))).alias("part")).orderBy("lang", "n").collect():
         parts.setdefault(r.lang, []).append(letters_of(r.part))
