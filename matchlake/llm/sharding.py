@@ -45,16 +45,19 @@ def fill(shards: tuple[str, ...], slots: int = SLOTS) -> np.ndarray:
     return out
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """A key's slot; nulls have one of their own."""
-    return F.pmod(F.xxhash64(key), F.lit(slots))
+def slot_of(key: Column, slots: int = SLOTS, without: tuple[Column, ...] = ()) -> Column:
+    """A key's slot. Rows with a null key are dealt by these other columns, so they don't all share a slot."""
+    return F.pmod(F.when(key.isNotNull() | F.lit(not without), F.xxhash64(key)).otherwise(F.xxhash64(*without or (key,))), F.lit(slots))
 
 
-def placed(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, columns: tuple[str, str] = ("slot", "shard")) -> DataFrame:
-    """df with the slot and shard of each row's key. Null keys share one shard; equal keys do, so key should identify rows (a hot
-    source would fill one shard; ids don't). No rows, no rows."""
+def placed(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, columns: tuple[str, str] = ("slot", "shard"), spread: tuple[str, ...] | None = None) -> DataFrame:
+    """df with the slot and shard of each row's key. Equal keys share a shard, so key should identify rows (a hot source would fill one
+    shard; ids don't). Rows with a null key are dealt by the columns of spread, or all others but maps: only whole copies share a shard.
+    No rows, no rows; extra columns stay, whatever their names."""
+    if spread is None:
+        spread = tuple(c for c, kind in df.dtypes if "map<" not in kind and kind != "variant")
     lookup = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(fill(tuple(shards), slots).tolist())], "number long, shard string")
-    out = df.select(F.struct("*").alias("row"), slot_of(F.col(f"`{key}`"), slots).alias("slot")).join(F.broadcast(lookup), F.col("slot") == F.col("number"))
+    out = df.select(F.struct("*").alias("row"), slot_of(F.col(f"`{key}`"), slots, tuple(F.col(f"`{c}`") for c in spread)).alias("slot")).join(F.broadcast(lookup), F.col("slot") == F.col("number"))
     return out.select("row.*", F.col("slot").alias(columns[0]), F.col("shard").alias(columns[1]))
 
 
@@ -69,5 +72,5 @@ def write_shards(df: DataFrame, key: str, path: str, shards: tuple[str, ...] = S
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: slot, shard, its text's length, and where it goes when the last shard leaves."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("text_chars"))
-    now = placed(docs, "doc_id")
-    return placed(now, "doc_id", SHARDS[:-1], SLOTS, ("_again", "shard_after")).drop("_again")
+    now = placed(docs, "doc_id", spread=("text_chars",))
+    return placed(now, "doc_id", SHARDS[:-1], SLOTS, ("_again", "shard_after"), ("text_chars",)).drop("_again")

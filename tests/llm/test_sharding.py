@@ -45,3 +45,14 @@ def test_query(spark, sf_dir, tmp_path):
     assert H.placed(df.where("1=0"), "doc_id", columns=("s", "t")).count() == 0
     H.write_shards(df.drop("shard"), "doc_id", str(tmp_path / "out"), ("a", "b"), 11)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_null_keys_are_spread(spark, tmp_path):
+    df = spark.range(2000).selectExpr("cast(null as long) as doc_id", "cast(id as string) as text", "map(1, id) as m")
+    out = H.placed(df, "doc_id", ("a", "b", "c", "d"), 101).collect()
+    n = Counter(r.shard for r in out)
+    assert len(n) == 4 and max(n.values()) < 700 and len({r.slot for r in out}) == 101
+    H.write_shards(df.drop("m"), "doc_id", str(tmp_path / "out"), ("a", "b"), 11)
+    assert {r.shard for r in spark.read.parquet(str(tmp_path / "out")).select("shard").distinct().collect()} == {"a", "b"}
+    query = H.placed(H.placed(df, "doc_id", spread=("text",)), "doc_id", H.SHARDS[:-1], H.SLOTS, ("again", "after"), ("text",))
+    assert query.where("slot <> again").count() == 0
