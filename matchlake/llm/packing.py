@@ -33,8 +33,9 @@ from .common import rows_to_arrow, stored, table
 
 MAX_TOKENS = 4096
 END = 2
-#: Words whose ids a Python worker remembers; beyond that and one batch it starts anew. Bounds memory, not results.
-REMEMBERED = 600_000
+#: Words, of up to so many characters, whose ids a Python worker remembers; beyond that and one batch it starts anew, and longer ones
+#: are forgotten with their batch. Bounds memory, not results.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -61,7 +62,9 @@ class WordCodes:
         if len(self.known_pieces) > REMEMBERED // 2:
             self.known_pieces.clear()
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        self.known_pieces[piece] = code = pack_ids([t.id for t in self.model.tokenize(shown)])
+        code = pack_ids([t.id for t in self.model.tokenize(shown)])
+        if len(piece) <= LONGEST:
+            self.known_pieces[piece] = code
         return code
 
     def learn(self, words: set[str]) -> None:
@@ -89,6 +92,9 @@ class WordCodes:
         self.learn(new)
         for words in cut:
             yield b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
 
 
 @lru_cache(maxsize=2)
