@@ -9,6 +9,7 @@ first changed byte on.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-#: Pieces whose ids a Python worker remembers; beyond that and one batch it starts anew. Bounds memory, not results.
-REMEMBERED = 600_000
+#: Pieces, of up to so many characters, whose ids a Python worker remembers; beyond that and one batch it starts anew, and longer ones
+#: are forgotten with their batch. Bounds memory, not results.
+REMEMBERED, LONGEST = 600_000, 64
+
 
 class PrefixEncoder:
     """Encoder of single pieces for the ranks of a byte-level BPE vocabulary."""
@@ -118,9 +121,16 @@ class PrefixEncoder:
         return piece + more, self.extend(piece + more, list(last))
 
     def replace(self, piece: bytes, last: list[int], start: int, end: int, by: bytes) -> tuple[bytes, list[int]]:
-        """piece with bytes start to end replaced, and its last tokens; what stands before start is kept."""
-        edited = piece[:start] + by + piece[end:]
-        return edited, self.extend(edited, last[:start])
+        """piece with bytes start to end replaced, and its last tokens. What stands before start is kept, and so is what follows once as
+        many last tokens in a row as the longest token has bytes are the old ones: no later one can tell the two apart."""
+        edited, moved = piece[:start] + by + piece[end:], start + len(by) - end
+        new, at = last[:start], start + len(by)
+        while at < len(edited):
+            at = min(len(edited), at + self.longest)
+            self.extend(edited[:at], new)
+            if at - self.longest >= start + len(by) and new[at - self.longest :] == last[at - self.longest - moved : at - moved]:
+                return edited, new + last[at - moved :]
+        return edited, self.extend(edited, new)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -168,6 +178,9 @@ class TextEncoder:
             known[p] = np.array(self.encoder.encode(p.encode()), "<u4").tobytes()
         for pieces in cut:
             yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes_of.join(ids)
@@ -177,6 +190,63 @@ class TextEncoder:
         return self.digits_of.join(ids)[:-1]
 
 
+class EncodedText:
+    """A text with its pieces and, of those longer than one token, the last tokens of their prefixes, so that appends and edits work on
+    the pieces that they change alone."""
+
+    def __init__(self, encoder: PrefixEncoder, pattern: str, text: str = ""):
+        self.encoder, self.pattern, self.text = encoder, regex.compile(pattern), ""
+        #: Of each piece: where it begins in the text, its bytes, its last tokens.
+        self.pieces: list[tuple[int, bytes, list[int]]] = []
+        self.worked_on = 0
+        self.edit(0, 0, text)
+
+    def piece(self, begin: int, text: str) -> tuple[int, bytes, list[int]]:
+        raw = text.encode()
+        self.worked_on += len(raw)
+        return begin, raw, [] if raw in self.encoder.ranks else self.encoder.extend(raw, [])
+
+    def append(self, more: str) -> None:
+        self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, end: int, by: str) -> None:
+        """Replaces characters start to end. Pieces are cut anew from the one that the edit touches, or what it may lengthen or what white
+        space before that looked ahead to; as soon as a cut falls where one fell behind the edit, the old pieces go on: how a text is
+        cut from some place on depends on nothing before it."""
+        moved = len(by) - (end - start)
+        begins = [b for b, *_ in self.pieces]
+        first = max(0, bisect.bisect_left(begins, start) - 1)
+        while first and self.pieces[first - 1][1].isspace():
+            first -= 1
+        self.text = self.text[:start] + by + self.text[end:]
+        old = {b + moved: i for i, b in enumerate(begins) if b >= end}
+        new, at, rest = [], begins[first] if begins else 0, len(self.pieces)
+        while at < len(self.text):
+            if at >= start + len(by) and at in old:
+                rest = old[at]
+                break
+            m = self.pattern.search(self.text, at)
+            if m is None or m.end() == m.start():
+                break
+            new.append(self.lengthened(first, len(new), m) or self.piece(m.start(), m.group()))
+            at = m.end()
+        self.pieces[first:] = new + [(b + moved, raw, last) for b, raw, last in self.pieces[rest:]]
+
+    def lengthened(self, first: int, nth: int, found) -> tuple[int, bytes, list[int]] | None:
+        """The piece if it only continues the old one at its place: then its array is continued."""
+        if first + nth < len(self.pieces):
+            begin, raw, last = self.pieces[first + nth]
+            now = found.group().encode()
+            if begin == found.start() and last and now.startswith(raw):
+                self.worked_on += len(now) - len(raw)
+                whole, more = self.encoder.append(raw, last, now[len(raw) :])
+                return begin, whole, [] if whole in self.encoder.ranks else more
+        return None
+
+    def ids(self) -> list[int]:
+        return [i for _, raw, last in self.pieces for i in self.encoder.ids_of(raw, last)]
+
+
 @lru_cache(maxsize=2)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(path, pattern)

@@ -51,3 +51,46 @@ def test_query(spark):
     assert B.digests(df.where("1=0"), PATH, P.PATTERN).count() == 0
     back = B.decode(B.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).where("doc_id = 2").collect()
     assert bytes(back[0].bytes) == TEXTS[2].encode()
+
+
+def test_edits_stop_where_the_arrays_agree_again():
+    e, r = B.encoder(PATH), random.Random(8)
+    for _ in range(200):
+        a, b = (bytes(r.choices(b"therinaos xq", k=k)) for k in (r.randint(1, 900), r.randint(0, 9)))
+        last, at = e.extend(a, []), r.randint(0, len(a))
+        edited, again = e.replace(a, last, at, min(len(a), at + r.randint(0, 5)), b)
+        assert again == e.extend(edited, [])
+
+
+def test_texts_append_and_edit():
+    r, alphabet = random.Random(9), ["the", "ing", " ", "  ", "\n", "é", "漢", "'s", "7", "$", "x" * 70, "A"]
+    words = lambda n: "".join(r.choices(alphabet, k=n))
+    for _ in range(150):
+        text = words(r.randint(0, 60))
+        now = B.EncodedText(B.encoder(PATH), P.PATTERN, text)
+        for _ in range(4):
+            start = r.randint(0, len(text))
+            end, by = min(len(text), start + r.randint(0, 6)), words(r.randint(0, 4))
+            if r.random() < 0.4:
+                start = end = len(text)
+                now.append(by)
+            else:
+                now.edit(start, end, by)
+            text = text[:start] + by + text[end:]
+            assert now.text == text and now.ids() == PLAIN.encode_ordinary(text), (text, start, end, by)
+
+
+def test_an_edit_works_on_its_surroundings_only():
+    text = " ".join(f"word{i}" for i in range(20_000))
+    now = B.EncodedText(B.encoder(PATH), P.PATTERN, text)
+    before = now.worked_on
+    now.edit(60_000, 60_003, "abc de")
+    now.append("more")
+    assert now.worked_on - before < 100 and now.ids() == PLAIN.encode_ordinary(now.text)
+
+
+def test_long_pieces_are_forgotten():
+    enc = B.TextEncoder(PATH, P.PATTERN)
+    long_ = "x" * 5000 + " short"
+    assert [x.tolist() for x in enc.encode_all([long_, long_])] == [PLAIN.encode_ordinary(long_)] * 2
+    assert set(enc.known) == {" short"}
