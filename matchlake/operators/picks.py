@@ -72,7 +72,7 @@ def value_bets(predictions: DataFrame, min_edge: float = 0.02) -> DataFrame:
     of = lambda o, p, odds: F.struct(F.lit(o).alias("outcome"), F.col(p).alias("probability"), F.col(odds).cast("double").alias("odds"))
     each = F.explode(F.array(of("1", "p1", "tip_home_odds"), of("X", "px", "tip_draw_odds"), of("2", "p2", "tip_away_odds")))
     got = blended(predictions).select("id", each.alias("e")).select("id", "e.*").where((F.col("odds") > 0) & (F.col("odds") <= 100))
-    got = got.withColumns({"edge": F.round(F.col("probability") - 1 / F.col("odds"), 6), "ev": F.round(F.col("probability") * F.col("odds") - 1, 6)})
+    got = got.withColumns({"edge": F.col("probability") - 1 / F.col("odds"), "ev": F.col("probability") * F.col("odds") - 1})
     return got.where(F.col("edge") >= min_edge).select("id", "outcome", "odds", "edge", "ev")
 
 
@@ -82,14 +82,16 @@ _MET = """(SELECT id, match_url, sport, advice_confidence, s.strategy, s.priorit
  WHEN 'VALUE_PLAY' THEN focus_team = 'away' AND advice_confidence >= 70 AND h2h_win_rate >= 60 AND (tip_away_odds IS NULL OR (tip_away_odds >= 1.80 AND tip_away_odds <= 3.50))
  ELSE h2h_win_rate >= 80 AND advice_confidence >= 70 AND advice_recommendation IS DISTINCT FROM 'SKIP' AND (tip_probability >= 65 OR tip_probability IS NULL) END)"""
 _STRATEGY = f"SELECT id, match_url, sport, strategy, priority, advice_confidence FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY match_url ORDER BY priority, place, id) AS n FROM {_MET} m) k WHERE n = 1"
-_MEANS = """(SELECT *, CASE WHEN t > 0 THEN m1 / t ELSE m1 END AS p1, CASE WHEN t > 0 THEN mx / t ELSE mx END AS px, CASE WHEN t > 0 THEN m2 / t ELSE m2 END AS p2 FROM (SELECT *, m1 + mx + m2 AS t FROM (
- SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, COALESCE(AVG(p1), 0.33) AS m1, COALESCE(AVG(px), 0.33) AS mx, COALESCE(AVG(p2), 0.33) AS m2 FROM (
-  SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, CASE tip_prediction WHEN '1' THEN q WHEN '2' THEN (1 - q) * 0.6 WHEN 'X' THEN (1 - q) * 0.5 END AS p1, CASE tip_prediction WHEN 'X' THEN q WHEN '1' THEN (1 - q) * 0.4 WHEN '2' THEN (1 - q) * 0.4 END AS px,
-   CASE tip_prediction WHEN '2' THEN q WHEN '1' THEN (1 - q) * 0.6 WHEN 'X' THEN (1 - q) * 0.5 END AS p2 FROM (SELECT *, CAST(COALESCE(tip_probability, 50) AS DOUBLE) / 100 AS q FROM <predictions> a) b
-  UNION ALL SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, CASE WHEN fan_home_win_prob > 0 THEN CAST(fan_home_win_prob AS DOUBLE) / 100 END, CASE WHEN fan_home_win_prob > 0 THEN CASE WHEN fan_draw_prob > 0 THEN CAST(fan_draw_prob AS DOUBLE) / 100 ELSE 0.25 END END,
-   CASE WHEN fan_home_win_prob > 0 THEN CASE WHEN fan_away_win_prob > 0 THEN CAST(fan_away_win_prob AS DOUBLE) / 100 ELSE 0.35 END END FROM <predictions> c
-  UNION ALL SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, CASE WHEN r > 0 THEN CASE WHEN focus_team = 'home' THEN r ELSE 1 - r - 0.1 END END, CASE WHEN r > 0 THEN 0.25 END, CASE WHEN r > 0 THEN CASE WHEN focus_team = 'home' THEN 1 - r - 0.1 ELSE r END END
-   FROM (SELECT *, CAST(COALESCE(h2h_win_rate, 50) AS DOUBLE) / 100 AS r FROM <predictions> d) e) f GROUP BY id, tip_home_odds, tip_draw_odds, tip_away_odds) g) h)"""
+# sums in the same order as the columns above, so that both round alike
+_MEAN = lambda k: f"CASE WHEN a{k} IS NULL AND b{k} IS NULL AND c{k} IS NULL THEN 0.33::DOUBLE ELSE (COALESCE(a{k}, 0) + COALESCE(b{k}, 0) + COALESCE(c{k}, 0)) / (CAST(a{k} IS NOT NULL AS INTEGER) + CAST(b{k} IS NOT NULL AS INTEGER) + CAST(c{k} IS NOT NULL AS INTEGER)) END AS m{k}"
+_MEANS = f"""(SELECT *, CASE WHEN t > 0 THEN m1 / t ELSE m1 END AS p1, CASE WHEN t > 0 THEN mx / t ELSE mx END AS px, CASE WHEN t > 0 THEN m2 / t ELSE m2 END AS p2 FROM (SELECT *, m1 + mx + m2 AS t FROM (
+ SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds, {_MEAN("1")}, {_MEAN("x")}, {_MEAN("2")} FROM (SELECT id, tip_home_odds, tip_draw_odds, tip_away_odds,
+  CASE tip_prediction WHEN '1' THEN q WHEN '2' THEN (1 - q) * 0.6::DOUBLE WHEN 'X' THEN (1 - q) * 0.5::DOUBLE END AS a1, CASE tip_prediction WHEN 'X' THEN q WHEN '1' THEN (1 - q) * 0.4::DOUBLE WHEN '2' THEN (1 - q) * 0.4::DOUBLE END AS ax,
+  CASE tip_prediction WHEN '2' THEN q WHEN '1' THEN (1 - q) * 0.6::DOUBLE WHEN 'X' THEN (1 - q) * 0.5::DOUBLE END AS a2,
+  CASE WHEN fan_home_win_prob > 0 THEN CAST(fan_home_win_prob AS DOUBLE) / 100 END AS b1, CASE WHEN fan_home_win_prob > 0 THEN CASE WHEN fan_draw_prob > 0 THEN CAST(fan_draw_prob AS DOUBLE) / 100 ELSE 0.25::DOUBLE END END AS bx,
+  CASE WHEN fan_home_win_prob > 0 THEN CASE WHEN fan_away_win_prob > 0 THEN CAST(fan_away_win_prob AS DOUBLE) / 100 ELSE 0.35::DOUBLE END END AS b2,
+  CASE WHEN r > 0 THEN CASE WHEN focus_team = 'home' THEN r ELSE 1 - r - 0.1::DOUBLE END END AS c1, CASE WHEN r > 0 THEN 0.25::DOUBLE END AS cx, CASE WHEN r > 0 THEN CASE WHEN focus_team = 'home' THEN 1 - r - 0.1::DOUBLE ELSE r END END AS c2
+ FROM (SELECT *, CAST(COALESCE(tip_probability, 50) AS DOUBLE) / 100 AS q, CAST(COALESCE(h2h_win_rate, 50) AS DOUBLE) / 100 AS r FROM <predictions> d) e) f) g) h)"""
 QUERIES = {
     "pick_strategies": (lambda t: strategies(t.predictions), _STRATEGY),
     "strategy_rows": (lambda t: matched(t.predictions).select("id", "strategy", "priority"), f"SELECT id, strategy, priority FROM {_MET} m"),
@@ -101,12 +103,12 @@ QUERIES = {
  FROM <predictions> p WHERE qualifies AND match_date >= DATE '1999-01-01') q WHERE h + t + f + a >= 3""",
     ),
     "blended_probabilities": (
-        lambda t: blended(t.predictions).select("id", *(F.round(c, 6).alias(c) for c in ("p1", "px", "p2"))),
-        f"SELECT id, ROUND(p1, 6) AS p1, ROUND(px, 6) AS px, ROUND(p2, 6) AS p2 FROM {_MEANS} m",
+        lambda t: blended(t.predictions).select("id", "p1", "px", "p2"),
+        f"SELECT id, p1, px, p2 FROM {_MEANS} m",
     ),
     "value_bets": (
         lambda t: value_bets(t.predictions),
-        f"""SELECT id, outcome, odds, edge, ev FROM (SELECT id, outcome, odds, ROUND(probability - 1 / odds, 6) AS edge, ROUND(probability * odds - 1, 6) AS ev FROM (SELECT id, o.outcome, CASE o.outcome WHEN '1' THEN p1 WHEN 'X' THEN px ELSE p2 END AS probability,
- CAST(CASE o.outcome WHEN '1' THEN tip_home_odds WHEN 'X' THEN tip_draw_odds ELSE tip_away_odds END AS DOUBLE) AS odds FROM {_MEANS} m CROSS JOIN (VALUES ('1'), ('X'), ('2')) AS o(outcome)) q WHERE odds > 0 AND odds <= 100) r WHERE edge >= 0.02""",
+        f"""SELECT id, outcome, odds, edge, ev FROM (SELECT id, outcome, odds, probability - 1 / odds AS edge, probability * odds - 1 AS ev FROM (SELECT id, o.outcome, CASE o.outcome WHEN '1' THEN p1 WHEN 'X' THEN px ELSE p2 END AS probability,
+ CAST(CASE o.outcome WHEN '1' THEN tip_home_odds WHEN 'X' THEN tip_draw_odds ELSE tip_away_odds END AS DOUBLE) AS odds FROM {_MEANS} m CROSS JOIN (VALUES ('1'), ('X'), ('2')) AS o(outcome)) q WHERE odds > 0 AND odds <= 100) r WHERE edge >= 0.02::DOUBLE""",
     ),
 }

@@ -56,6 +56,7 @@ class Tables:
 
     def _sql(self, text: str) -> DataFrame:
         views = {n: self.spark.read.parquet(f"{self.sf_dir}/{n}.parquet") for n in ("orders", "lineitem")}
+        text = text.replace("{", "{{").replace("}", "}}")  # for the views' names below are set in braces
         for n in views:
             text = text.replace(f"FROM {n}", f"FROM {{{n}}}")
         return self.spark.sql(text, **{n: v for n, v in views.items() if f"{{{n}}}" in text})
@@ -68,6 +69,10 @@ class Tables:
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/pages.parquet")
+
     @cached_property
     def matches(self) -> DataFrame:
         return self._sql(MATCHES)

@@ -5,7 +5,7 @@ import pytest
 
 from matchlake.plans import catalog
 
-TABLES = ("orders", "lineitem", "events")
+TABLES = ("orders", "lineitem", "events", "pages")
 
 
 def plain(v):
