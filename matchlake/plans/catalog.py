@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.operators import accuracy, bets, calibration, entities, feeds, filters, form, listings, momentum, names, pages, picks, staking, tennis, texts, views
+from matchlake.operators import accuracy, bets, calibration, entities, feeds, filters, form, listings, momentum, names, odds, pages, picks, staking, tennis, texts, views
 from matchlake.sources import derived
 
 #: name -> (query over the derived tables, SQL with <matches>, <predictions> and <bets> for them)
-FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, entities.QUERIES, feeds.QUERIES, filters.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, names.QUERIES, pages.QUERIES, picks.QUERIES, staking.QUERIES, tennis.QUERIES, texts.QUERIES, views.QUERIES)
+FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, entities.QUERIES, feeds.QUERIES, filters.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, names.QUERIES, odds.QUERIES, pages.QUERIES, picks.QUERIES, staking.QUERIES, tennis.QUERIES, texts.QUERIES, views.QUERIES)
 
 
 def _query(build: Callable[[derived.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
