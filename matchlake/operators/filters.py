@@ -43,7 +43,7 @@ def ruled(matches: DataFrame, predictions: DataFrame) -> DataFrame:
     scores = older_of(histories(matches)).select(F.col("match_id").alias("score_id"), F.abs("total_score").alias("advanced_score"))
     got = predictions.join(scores, F.col("id") == F.col("score_id"), "left")
     for c in ("home", "away"):
-        got = got.join(F.broadcast(side(c)), (F.col("sport") == F.col(f"{c}_sport")) & (F.col(f"{c}_team") == F.col(f"{c}_name")), "left")  # a row for each team
+        got = got.join(side(c), (F.col("sport") == F.col(f"{c}_sport")) & (F.col(f"{c}_team") == F.col(f"{c}_name")), "left")
     known = F.lit(True)
     for c in ("home", "away"):
         known = known & F.coalesce(F.col(f"{c}_first") < F.struct("match_date", F.col("id").alias("match_id")), F.lit(False))

@@ -133,7 +133,10 @@ QUERIES = {
     ),
     "set_scores": (
         lambda t: sets(t.rows(TEXTS)),
-        f"""SELECT id, CASE sets_text WHEN '6-4, 7-5' THEN '2-0' WHEN '2-1' THEN '2-1' WHEN '6:4 3:6 7:5' THEN '2-1' WHEN '4-6 6-6 10-8' THEN '1-2' END AS sets FROM ({TEXTS}) t""",
+        # sets are counted, and what isn't the first player's is the second's
+        f"""SELECT id, CASE WHEN regexp_full_match(sets_text, '[0-9]-[0-9]') THEN sets_text WHEN len(x) > 0 THEN CAST(len(w) AS VARCHAR) || '-' || CAST(len(x) - len(w) AS VARCHAR) END AS sets FROM (
+ SELECT id, sets_text, x, [i FOR i IN range(1, len(x) + 1) IF x[i] > y[i]] AS w FROM (SELECT id, sets_text, CAST(regexp_extract_all(COALESCE(sets_text, ''), '(\\d+)[-:](\\d+)', 1) AS INTEGER[]) AS x,
+ CAST(regexp_extract_all(COALESCE(sets_text, ''), '(\\d+)[-:](\\d+)', 2) AS INTEGER[]) AS y FROM ({TEXTS}) t) u) v""",
     ),
     "advice_replies": (
         lambda t: replies(t.rows(TEXTS)),

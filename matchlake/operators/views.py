@@ -81,15 +81,15 @@ def period(predictions: DataFrame, as_of: str, days: int) -> DataFrame:
     """Predictions of the last days by sport and of all: total, qualified, with a result; and with tips, votes and odds."""
     since = predictions.where(F.col("match_date") >= F.date_sub(F.expr(as_of), days))
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    got = since.rollup("sport").agg(F.count("*").alias("total"), n(F.col("qualifies"), "qualified"), F.count("actual_result").alias("with_result"), F.count("tip_prediction").alias("with_tip"), F.count("fan_home_win_prob").alias("with_votes"), n(F.col("tip_home_odds") > 0, "with_odds"))
-    return got.withColumn("sport", F.coalesce("sport", F.lit("all")))
+    got = since.rollup("sport").agg(F.grouping("sport").alias("of_all"), F.count("*").alias("total"), n(F.col("qualifies"), "qualified"), F.count("actual_result").alias("with_result"), F.count("tip_prediction").alias("with_tip"), F.count("fan_home_win_prob").alias("with_votes"), n(F.col("tip_home_odds") > 0, "with_odds"))
+    return got.withColumn("sport", F.when(F.col("of_all") == 1, "all").otherwise(F.col("sport"))).drop("of_all")  # a missing sport stays null
 
 
 def league_groups(predictions: DataFrame) -> DataFrame:
     """Each league's matches of a sport: how many, the first three ids by date and time, and the qualified share."""
     first = F.slice(F.sort_array(F.collect_list(F.struct("match_date", "match_time", "id"))), 1, 3)
     last_day = predictions.where("qualifies").groupBy("sport", "league").agg(F.max("match_date").alias("last_day"))
-    got = predictions.join(F.broadcast(last_day), ["sport", "league"]).where(F.col("match_date") == F.col("last_day"))  # a row for each league
+    got = predictions.join(last_day, ["sport", "league"]).where(F.col("match_date") == F.col("last_day"))
     return got.groupBy("sport", "league").agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda x: x["id"].cast("string")), ",").alias("first_ids"))
 
 

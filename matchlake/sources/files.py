@@ -10,6 +10,8 @@ MATCH = """id bigint, homeTeam string, awayTeam string, time string, date string
  h2h struct<home: int, draw: int, away: int, total: int, winRate: int>, homeForm array<string>, awayForm array<string>, formAdvantage boolean,
  odds struct<home: double, draw: double, away: double, bookmaker: string>, focusTeam string"""
 NULLS = ("", "nan", "none", "null")
+# What columns of rows are called in the table of predictions.
+PREDICTION_COLUMNS = {"home_odds": "tip_home_odds", "draw_odds": "tip_draw_odds", "away_odds": "tip_away_odds", "win_rate": "h2h_win_rate", "date": "match_date", "url": "match_url"}
 
 
 def or_null(c: Column) -> Column:
@@ -56,11 +58,13 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*(F.to_json(c).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in rows.dtypes)).write.mode("overwrite").csv(path, header=True)
 
 
-def merged(table: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+def merged(table: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """table with the values of updates where those aren't null, and its new keys' rows; columns of table. Of several updates of a key
-    the last by all columns counts; rows without a key stay as they are. One shuffle of either side by key."""
-    shared = [c for c in updates.columns if c != key]
-    last = updates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*shared)).alias("_new"))
+    that with the greatest value of the column `order` counts (when they were made); without it, and among equal ones, the greatest by all
+    columns. Rows without a key stay as they are. One shuffle of either side by key."""
+    shared = [c for c in updates.columns if c not in (key, order) or c in table.columns and c != key]
+    at = [F.col(order).alias("_at")] if order else []
+    last = updates.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*at, *shared)).alias("_new"))
     both = table.join(last, F.col(key) == F.col("_key"), "full")
     return both.select(*(F.coalesce(key, "_key").alias(c) if c == key else F.coalesce(F.col("_new")[c], F.col(c)).alias(c) if c in shared else F.col(c) for c in table.columns))
 
@@ -78,13 +82,53 @@ def checked_bets(bets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     order = Window.partitionBy("match_id").orderBy("placed_on", "bet_selection", "odds_at_bet")
     there = known.select(F.col("match_id").alias("_known")).distinct()
     wrong = F.when(F.col("match_id").isNull(), "no match").when(~F.coalesce(F.col("bet_selection").isin("1", "X", "2"), F.lit(False)), "selection").when(~F.coalesce(F.col("odds_at_bet") > 1, F.lit(False)), "odds")
-    rows = bets.withColumn("_wrong", wrong).join(there, F.col("match_id") == F.col("_known"), "left")
-    rows = rows.withColumn("_n", F.when(F.col("_wrong").isNull(), F.sum(F.when(F.col("_wrong").isNull(), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    reason = F.coalesce("_wrong", F.when(F.col("_known").isNotNull(), "known"), F.when(F.col("_n") > 1, "repeated"))
-    rows = rows.withColumn("reason", reason)
-    return rows.where("reason IS NULL").select(*bets.columns), rows.where("reason IS NOT NULL").select(*bets.columns, "reason")
+    rows = bets.withColumn("reason", wrong)
+    bad = rows.where("reason IS NOT NULL").select(*bets.columns, "reason")  # apart, so that bets without a match don't meet in one task
+    fine = rows.where("reason IS NULL").drop("reason").join(there, F.col("match_id") == F.col("_known"), "left").withColumn("_n", F.row_number().over(order))
+    fine = fine.withColumn("reason", F.when(F.col("_known").isNotNull(), "known").when(F.col("_n") > 1, "repeated"))
+    return fine.where("reason IS NULL").select(*bets.columns), bad.unionByName(fine.where("reason IS NOT NULL").select(*bets.columns, "reason"))
 
 
 def kept_days(table: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Rows of the last `days` days before as_of and later; on a table partitioned by match_date whole partitions go."""
     return table.where(F.col("match_date") >= F.date_sub(F.to_date(F.lit(as_of)), days))
+
+
+def save_batch(rows: DataFrame, path: str, batch: int | str) -> None:
+    """rows into a table of batches. A batch that is written again, whole or after a failure, takes the place of what it wrote before, and
+    touches no other: a partition of its own, overwritten alone."""
+    rows.withColumn("batch", F.lit(str(batch))).write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of a table, each row once, with the batch that wrote it."""
+    return spark.read.schema(f"{schema}, batch string").parquet(path)
+
+
+def insert_predictions(rows: DataFrame, path: str, batch: int | str, names: dict[str, str] | None = None) -> None:
+    """save_batch with columns renamed to the table's; rows without teams are left out, and of a match's rows in a batch one stays: the
+    greatest by all columns. Names that rows don't have are passed by."""
+    named = rows.withColumnsRenamed({k: v for k, v in (names or PREDICTION_COLUMNS).items() if k in rows.columns})
+    keys = ["match_date", "home_team", "away_team"]
+    rest = [c for c in named.columns if c not in keys]
+    one = named.where("home_team IS NOT NULL AND away_team IS NOT NULL").groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r"))
+    save_batch(one.select(*keys, "r.*"), path, batch)
+
+
+def without(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """table without the rows whose key is in gone; rows without a key stay."""
+    return table.join(gone.select(key).where(F.col(key).isNotNull()), key, "left_anti").select(*table.columns)
+
+
+def save_weights(weights: DataFrame, path: str, calibrated_at: str) -> None:
+    """weights(source, weight, accuracy) as the snapshot of this time; the same one again takes its place."""
+    weights.coalesce(1).withColumn("calibrated_at", F.lit(calibrated_at)).write.partitionBy("calibrated_at").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def latest_weights(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
+    """(source, weight, accuracy, calibrated_at) of the newest snapshot, or the newest one up to as_of. Times compare as text, so they are
+    written year first."""
+    rows = spark.read.schema("source string, weight double, accuracy double, calibrated_at string").parquet(path)
+    rows = rows if as_of is None else rows.where(F.col("calibrated_at") <= as_of)
+    newest = rows.agg(F.max("calibrated_at").alias("newest"))  # one row
+    return rows.join(newest, F.col("calibrated_at") == F.col("newest")).drop("newest")
