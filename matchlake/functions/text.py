@@ -235,3 +235,28 @@ def both_score(exact: Column, sport: Column) -> Column:
 
 def confidence_tier(c: Column) -> Column:
     return F.when(c >= 85, "Very High").when(c >= 70, "High").when(c >= 55, "Medium").otherwise("Low")
+
+
+def title_teams(title: Column) -> Column:
+    """(home, away) from a page's title: what stands before and behind the first dash, bar, vs or v between blanks; null without one."""
+    parts = F.split(title, r"\s[-–—|]\s|\svs\s|\sv\s")
+    return F.when(F.size(parts) >= 2, F.struct(F.trim(F.get(parts, 0)).alias("home"), F.trim(F.get(parts, 1)).alias("away")))
+
+
+def lookup_key(home: Column, away: Column, sport: Column, day: Column | None = None) -> Column:
+    """What a lookup of a match is remembered by: without a day a digest of names in lower case and sport, else sport, names and day."""
+    if day is None:
+        return F.md5(F.concat(F.lower(home), F.lit("|"), F.lower(away), F.lit("|"), sport))
+    return F.concat(sport, F.lit("|"), F.trim(F.lower(home)), F.lit("|"), F.trim(F.lower(away)), F.lit("|"), day.cast("string"))
+
+
+def initials(name: Column) -> Column:
+    """Two capitals of a team's name: of its first two words, else of its one word; ?? without a name. A club's word is a word."""
+    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    two = F.when(F.size(words) == 1, F.substring(F.get(words, 0), 1, 2)).otherwise(F.concat(F.substring(F.get(words, 0), 1, 1), F.substring(F.get(words, 1), 1, 1)))
+    return F.when(F.coalesce(name, F.lit("")) == "", "??").otherwise(F.upper(two))
+
+
+def hue(name: Column) -> Column:
+    """A colour between 0 and 359 that a name always has."""
+    return F.pmod(F.xxhash64(name), F.lit(360)).cast("int")

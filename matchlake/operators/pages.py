@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from matchlake.sources.html import Node, picked
 
+from .odds import WITH_DRAW
+
 # What addresses of matches have in them; words of a heading and of a status; marks of icons.
 MATCH_ADDRESSES = ("/match/", "/mecz/", "/#/match/", "/#id/", "/event/", "/detail/")
 MEETINGS = ("pojedynki", "bezpośrednie")
@@ -125,6 +127,21 @@ def team_form(pages: DataFrame, side: str, most: int = 5) -> DataFrame:
     return picked(pages, ["page_id"], "form string", rule)
 
 
+def results_in_text(pages: DataFrame, most: int = 20) -> DataFrame:
+    """(page_id, match_id, home_team, away_team, home_score, away_score, result) from pages(page_id, sport, day, html): of the first
+    `most` places that read "name 2 - 1 name" those with names of more than three letters. match_id: sport, day and the place's number,
+    from 0. Equal scores: X in sports with a draw, else 2."""
+    pattern = r"([A-Za-z\s.\-]+)\s+(\d+)\s*[-:]\s*(\d+)\s+([A-Za-z\s.\-]+)"
+    part = lambda i: F.regexp_extract_all("html", F.lit(pattern), i)
+    found = pages.select("page_id", "sport", "day", F.posexplode(F.slice(F.arrays_zip(part(1).alias("h"), part(2).alias("x"), part(3).alias("y"), part(4).alias("a")), 1, most)).alias("n", "m"))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = found.select("page_id", "sport", F.concat_ws("_", "sport", "day", "n").alias("match_id"), trimmed("m.h").alias("home_team"), trimmed("m.a").alias("away_team"), F.col("m.x").try_cast("int").alias("home_score"), F.col("m.y").try_cast("int").alias("away_score"))
+    h, a = F.col("home_score"), F.col("away_score")
+    result = F.when(h > a, "1").when(h < a, "2").when(F.col("sport").isin(*WITH_DRAW), "X").otherwise("2")
+    kept = rows.where((F.length("home_team") > 3) & (F.length("away_team") > 3) & h.isNotNull() & a.isNotNull())
+    return kept.select("page_id", "match_id", "home_team", "away_team", "home_score", "away_score", result.alias("result"))
+
+
 def _meeting(i: int) -> str:
     """The i-th past meeting of a derived page, as HTML."""
     home, away = ("home_team", "away_team") if i % 2 else ("away_team", "home_team")
@@ -149,6 +166,7 @@ SAVED = f"""SELECT match_id AS page_id, 'https://x.example/day' AS url, match_da
  || '<div class="h2h__section"><div>Ostatnie mecze</div>{_DECOY}</div><div class="h2h__section section">' || CASE WHEN h % 10 = 0 THEN '<div>Inne</div>' ELSE '<div>Pojedynki <i>bezpośrednie</i></div>' END || {" || ".join(_meeting(i) for i in range(1, 8))} || '</div>'
  || CASE h % 3 WHEN 0 THEN '<div class="smv__homeParticipant"><div class="x__form">' || {_SIX(_ICON)} || '</div></div>' WHEN 1 THEN '<div class="y">' || {_SIX(_LETTER)} || '</div>' ELSE {_SIX(_RECENT)} END
  || '</body></html>' AS html FROM <matches> m"""
+_RESULTS = """SELECT match_id AS page_id, sport, CAST(match_date AS STRING) AS day, '<b>Home ' || sport || ' ' || CAST(h % 5 AS STRING) || ' - ' || CAST(h % 3 AS STRING) || ' Guests.' || sport || '</b>; Aa 1:1 Bb; <i>FC North  ' || CAST(h % 4 AS STRING) || ':2 South-East</i>' AS html FROM <matches> m"""
 _ITEMS = "(SELECT page_id, html, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) AS position FROM pages) x"
 _TEXT = "trim(regexp_replace({}, '<[^>]*>', ' ', 'g'))"
 _FORM = lambda words: " || ".join(f"CASE (h + {i}) % 3 WHEN 0 THEN '{words[0]}' WHEN 1 THEN '{words[1]}' ELSE '{words[2]}' END" for i in range(5))
@@ -180,6 +198,11 @@ QUERIES = {
         """SELECT page_id, status, CASE WHEN status = 'finished' THEN home_score END AS score_home, CASE WHEN status = 'finished' THEN away_score END AS score_away,
  CASE WHEN status = 'finished' THEN CASE WHEN home_score > away_score THEN 'home' WHEN home_score < away_score THEN 'away' ELSE 'draw' END END AS winner FROM (
  SELECT match_id AS page_id, CAST(home_score AS INTEGER) AS home_score, CAST(away_score AS INTEGER) AS away_score, CASE WHEN home_score IS NULL THEN 'not_finished' WHEN h % 4 = 1 THEN 'no_score' ELSE 'finished' END AS status FROM <matches> m) s""",
+    ),
+    "results_in_text": (
+        lambda t: results_in_text(t.rows(_RESULTS)),
+        """SELECT match_id AS page_id, sport || '_' || CAST(match_date AS VARCHAR) || '_' || CAST(n AS VARCHAR) AS match_id, home_team, away_team, CAST(x AS INTEGER) AS home_score, CAST(y AS INTEGER) AS away_score, CASE WHEN x > y THEN '1' WHEN x < y THEN '2' WHEN sport IN ('football', 'handball', 'hockey') THEN 'X' ELSE '2' END AS result FROM (
+ SELECT match_id, sport, match_date, 0 AS n, 'Home ' || sport AS home_team, 'Guests.' || sport AS away_team, h % 5 AS x, h % 3 AS y FROM <matches> a UNION ALL SELECT match_id, sport, match_date, 2, 'FC North', 'South-East', h % 4, 2 FROM <matches> b) u""",
     ),
     "page_form": (
         lambda t: team_form(t.rows(SAVED), "home"),

@@ -99,7 +99,20 @@ _NUMBER = f"COALESCE(CASE WHEN NOT {_MISSING} THEN TRY_CAST(odds_text AS DOUBLE)
 _LINES = "list_filter(string_split(reply_text, chr(10)), lambda x: starts_with(trim(x), '{0}:'))"
 _AFTER = f"list_transform({_LINES}, lambda x: trim(replace(x, '{{0}}:', '')))"
 
+def match_marks(matches: DataFrame) -> DataFrame:
+    """Of each match: the teams in its page's title, its keys for lookups, the home team's initials."""
+    title = F.concat(F.col("home_team"), F.element_at(F.array(*map(F.lit, (" - ", " vs ", " v ", "-"))), (F.col("match_id") % 4 + 1).cast("int")), F.col("away_team"), F.lit(" | x"))
+    sides = X.title_teams(title)
+    names = (F.col("home_team"), F.col("away_team"), F.col("sport"))
+    return matches.select("match_id", sides["home"].alias("title_home"), sides["away"].alias("title_away"), X.lookup_key(*names).alias("key"), X.lookup_key(*names, F.col("match_date")).alias("day_key"), X.initials(F.col("home_team")).alias("initials"))
+
+
 QUERIES = {
+    "match_marks": (
+        lambda t: match_marks(t.matches),
+        """SELECT match_id, CASE WHEN match_id % 4 = 3 THEN home_team || '-' || away_team ELSE home_team END AS title_home, CASE WHEN match_id % 4 = 3 THEN 'x' ELSE away_team END AS title_away, md5(lower(home_team) || '|' || lower(away_team) || '|' || sport) AS key,
+ sport || '|' || lower(home_team) || '|' || lower(away_team) || '|' || CAST(match_date AS VARCHAR) AS day_key, upper(CASE WHEN contains(home_team, ' ') THEN substr(home_team, 1, 1) || substr(split_part(home_team, ' ', 2), 1, 1) ELSE substr(home_team, 1, 2) END) AS initials FROM <matches> m""",
+    ),
     "parsed_days": (
         lambda t: days(t.rows(TEXTS), F.expr("DATE '1998-01-01'")),
         f"""SELECT id, CASE WHEN regexp_matches(day_text, '\\d{{2}}\\.\\d{{2}}\\.\\d{{2}}') THEN TRY_CAST({_FULL.format(last=50)} || '-' || m || '-' || dd AS DATE) END AS day,

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: A match as the JSON files have it, and both envelopes: a bare array, or an object with "matches".
 MATCH = """id bigint, homeTeam string, awayTeam string, time string, date string, league string, country string, sport string, matchUrl string, qualifies boolean,
- h2h struct<home: int, draw: int, away: int, total: int, winRate: int>, homeForm array<string>, awayForm array<string>, formAdvantage boolean,
+ h2h struct<home: int, draw: int, away: int, total: int, winRate: int>, homeForm array<string>, awayForm array<string>, homeFormHome array<string>, awayFormAway array<string>, formAdvantage boolean,
  odds struct<home: double, draw: double, away: double, bookmaker: string>, focusTeam string"""
+BET = """id bigint, prediction_id bigint, match_date string, match_time string, home_team string, away_team string, sport string, league string, bet_selection string,
+ odds_at_bet double, stake double, status string, profit double, notes string, created_at string"""
 NULLS = ("", "nan", "none", "null")
 # What columns of rows are called in the table of predictions.
 PREDICTION_COLUMNS = {"home_odds": "tip_home_odds", "draw_odds": "tip_draw_odds", "away_odds": "tip_away_odds", "win_rate": "h2h_win_rate", "date": "match_date", "url": "match_url"}
@@ -19,12 +21,14 @@ def or_null(c: Column) -> Column:
     return F.when(~F.lower(F.trim(c)).isin(*NULLS), c)
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
+def read_matches(spark: SparkSession, path: str, more: str = "") -> DataFrame:
     """A row for each match of the JSON files under path, with file_date and file_sport from the file's name
-    (matches_YYYY-MM-DD_sport.json, null where it has neither). Each file is one document; a byte order mark is skipped."""
+    (matches_YYYY-MM-DD_sport.json, null where it has neither). Each file is one document; a byte order mark is skipped. more: further
+    fields, as in MATCH, such as the structs of the services that a file has."""
+    fields = _colons(f"{MATCH}, {more}" if more else MATCH)
     files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_name").alias("name"))
-    bare = F.from_json("value", f"array<struct<{_colons(MATCH)}>>")
-    inside = F.when(F.col("value").rlike(r"^\s*\["), bare).otherwise(F.from_json("value", f"struct<matches: array<struct<{_colons(MATCH)}>>>")["matches"])
+    bare = F.from_json("value", f"array<struct<{fields}>>")
+    inside = F.when(F.col("value").rlike(r"^\s*\["), bare).otherwise(F.from_json("value", f"struct<matches: array<struct<{fields}>>>")["matches"])
     rows = files.select("name", F.explode(inside).alias("m"))
     of = lambda i: F.nullif(F.regexp_extract("name", r"_(\d{4}-\d{2}-\d{2})(?:_([a-z]+))?\.json$", i), F.lit(""))
     return rows.select("m.*", F.try_to_date(of(1)).alias("file_date"), of(2).alias("file_sport"))
@@ -42,6 +46,26 @@ def _colons(fields: str) -> str:
     return ", ".join(out)
 
 
+def read_bets(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each bet of the JSON files under path, each an object with the array "bets", or that array. A file that can't be read, or
+    has no bets, gives none."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    bare = F.from_json("value", f"array<struct<{_colons(BET)}>>")
+    inside = F.when(F.col("value").rlike(r"^\s*\["), bare).otherwise(F.from_json("value", f"struct<bets: array<struct<{_colons(BET)}>>>")["bets"])
+    return files.select(F.explode(inside).alias("b")).select("b.*").withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """(link): the lines of text files, trimmed, without blank ones and those that begin with #."""
+    return spark.read.text(path).select(F.trim("value").alias("link")).where("link <> '' AND NOT startswith(link, '#')")
+
+
+def read_saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the first, by name, of the JSON files under path that match: older runs' files of one day are passed by."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.col("_metadata.file_path"))
+    return rows.join(rows.agg(F.min("_file").alias("_first")), F.col("_file") == F.col("_first")).drop("_file", "_first")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header; text columns without what stands for nothing."""
     got = spark.read.csv(path, header=True, schema=schema)

@@ -87,3 +87,21 @@ def test_settling_stream_and_join(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/0")).collect())) == [(1, "1"), (2, "X")]
     matches = spark.createDataFrame([(7, "a", "b")], "match_id long, home_team string, away_team string")
     assert live.with_live(feed.drop("match_id"), matches).count() == 2
+
+
+def test_further_fields_bets_links_and_saved_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/matches_2024-12-16_football.json").write_text(json.dumps([{"id": 1, "homeFormHome": ["W"], "tips": {"prediction": "1", "probability": 55.0}}]))
+    row = files.read_matches(spark, str(tmp_path / "m"), "tips struct<prediction: string, probability: double>, votes struct<home: double>").first()
+    assert (row.homeFormHome, row.tips.prediction, row.tips.probability, row.votes) == (["W"], "1", 55.0, None)
+    (tmp_path / "b").mkdir()
+    bet = {"id": 1, "bet_selection": "1", "odds_at_bet": 1.8, "stake": 10}
+    for name, text in (("a", json.dumps({"bets": [bet, bet | {"id": 2, "status": "won"}]})), ("b", json.dumps([bet | {"id": 3}])), ("c", "{broken"), ("d", "{}")):
+        (tmp_path / f"b/{name}.json").write_text(text)
+    assert sorted((r.id, r.status, r.stake) for r in files.read_bets(spark, str(tmp_path / "b")).collect()) == [(1, "pending", 10.0), (2, "won", 10.0), (3, "pending", 10.0)]
+    (tmp_path / "links.txt").write_text("https://a\n\n# no\n  https://b  \n")
+    assert sorted(r.link for r in files.read_links(spark, str(tmp_path / "links.txt")).collect()) == ["https://a", "https://b"]
+    (tmp_path / "s").mkdir()
+    for n in (2, 1):
+        (tmp_path / f"s/predictions_{n}.json").write_text(json.dumps([{"id": n}, {"id": n * 10}]))
+    assert sorted(r.id for r in files.read_saved(spark, str(tmp_path / "s"), "id int").collect()) == [1, 10]
