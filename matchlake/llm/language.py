@@ -22,6 +22,8 @@ from .common import fold, map_texts, parts_of, stored, table
 #: FEWEST at least of each; none is left out. The only sample; predictions read whole texts. A byte takes some 500 in an automaton.
 BYTES_PER_LANGUAGE, FEWEST = 14_000, 500
 DOCUMENTS_PER_LANGUAGE = 64
+#: Up to so many rows that name labelled documents are broadcast, some 5 MB.
+BROADCAST_ROWS = 100_000
 #: Bytes parsed without a break; windows of all languages that are parsed at once.
 WINDOW, AT_ONCE = 1024, 1 << 19
 #: This bit of a state tells that a phrase ended.
@@ -143,10 +145,13 @@ def sample(docs: DataFrame, folds: int = 3, held_out: int | None = 1, bytes_per_
         ok = ok.where(fold("doc_id", folds) != held_out)
     ids = stored(ok.groupBy("lang", "doc_id").agg(F.count("*").alias("rows")))
     most = stored(ids.groupBy("lang").agg(F.count("*").alias("n_docs")))
-    bytes_per_language = max(min(bytes_per_language, FEWEST), min(bytes_per_language, 100 * bytes_per_language // max(1, most.count())))
+    languages = most.count()
+    bytes_per_language = max(min(bytes_per_language, FEWEST), min(bytes_per_language, 100 * bytes_per_language // max(1, languages)))
     first = ids.join(most, "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= documents_per_language)
     need = F.ceil(F.lit(1.5 * bytes_per_language / 4) / F.least("n_docs", F.lit(documents_per_language))).cast("int")
     first = first.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "n", need.alias("need"))
+    # languages * documents_per_language rows: broadcast while that is bounded, else texts are shuffled to them
+    first = F.broadcast(first) if languages * documents_per_language <= BROADCAST_ROWS else first
     mine = ok.join(first, (F.col("lang") == F.col("l")) & (F.col("doc_id") == F.col("d")))
     parts: dict[str, list[bytes]] = {}
     for r in mine.groupBy("lang", "n").agg(F.min(parts_of(F.col("text"), F.col("doc_id"), 4, F.col("need"))).alias("part")).orderBy("lang", "n").collect():
