@@ -82,6 +82,29 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*(F.to_json(c).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in rows.dtypes)).write.mode("overwrite").csv(path, header=True)
 
 
+def write_qualifying(rows: DataFrame, path: str) -> None:
+    """JSON of the rows that qualify, by date and sport."""
+    write_matches(rows.where("qualifies"), path)
+
+
+def chosen(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """rows with those of the wanted columns that it has, in this order."""
+    return rows.select(*(F.col(f"`{c}`") for c in wanted if c in rows.columns))
+
+
+def flat(rows: DataFrame, names: dict[str, str], zero: tuple[str, ...] = ()) -> DataFrame:
+    """A sheet of rows: columns, or fields of structs, under other names; truths as Yes and No (null: No), nulls of the columns in zero
+    as 0, other nulls empty."""
+
+    def cell(path: str) -> Column:
+        kind = rows.select(path).dtypes[0][1]
+        if kind == "boolean":
+            return F.when(F.col(path), "Yes").otherwise("No")
+        return F.coalesce(F.col(path), F.lit(0)) if path in zero else F.col(path)
+
+    return rows.select(*(cell(path).alias(name) for path, name in names.items()))
+
+
 def merged(table: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """table with the values of updates where those aren't null, and its new keys' rows; columns of table. Of several updates of a key
     that with the greatest value of the column `order` counts (when they were made); without it, and among equal ones, the greatest by all

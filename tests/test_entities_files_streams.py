@@ -105,3 +105,29 @@ def test_further_fields_bets_links_and_saved_files(spark, tmp_path):
     for n in (2, 1):
         (tmp_path / f"s/predictions_{n}.json").write_text(json.dumps([{"id": n}, {"id": n * 10}]))
     assert sorted(r.id for r in files.read_saved(spark, str(tmp_path / "s"), "id int").collect()) == [1, 10]
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A", True, None, (3,), "2024-01-01", "tennis"), (2, "B", None, 2.5, None, "2024-01-01", "tennis")], "id long, home string, qualifies boolean, odds double, h2h struct<home: int>, date string, sport string")
+    assert files.chosen(rows, ["odds", "nothing", "id"]).columns == ["odds", "id"]
+    sheet = files.flat(rows, {"home": "Home Team", "qualifies": "Qualifies", "h2h.home": "Wins", "odds": "Odds"}, ("h2h.home",))
+    files.write_csv(sheet.orderBy("Home Team").coalesce(1), str(tmp_path / "sheet"))
+    text = next((tmp_path / "sheet").glob("*.csv")).read_text()
+    assert text.splitlines() == ["Home Team,Qualifies,Wins,Odds", "A,Yes,3,", "B,No,0,2.5"]
+    files.write_qualifying(rows, str(tmp_path / "q"))
+    assert [r.id for r in spark.read.json(str(tmp_path / "q")).collect()] == [1]
+
+
+def test_reports_by_hand(spark):
+    from matchlake.operators import reports
+
+    rows = [(1, "d", "later", "b", "home", 1, 9), (2, "d", "9:05", "A", "away", 9, 3), (3, "d", "01.01.24 10:00", None, None, None, 2), (4, "e", None, "c", "away", 1, None)]
+    df = spark.createDataFrame(rows, "id long, match_date string, match_time string, home_team string, focus_team string, home_wins int, away_wins int")
+    order = lambda by: [r.id for r in reports.report_order(df, by).where("match_date = 'd'").orderBy("place").collect()]
+    assert (order("time"), order("wins"), order("team")) == ([3, 1, 2], [2, 1, 3], [3, 2, 1])  # as text, 10:00 comes before 9:05
+    many = spark.range(5000).selectExpr("id", "id * 7919 % 1000 as x")
+    got = {r.id: r["rank"] for r in reports.ranked_over_all(many, [F.desc("x"), F.col("id")]).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(5000), key=lambda i: (-(i * 7919 % 1000), i)), 1)}
+    assert reports.ranked_over_all(many.limit(0), [F.col("id")]).count() == 0
+    votes = spark.createDataFrame([(1, 1, 0, 1, 1, 2), (2, 0, None, None, 1, 1), (3, 1, 7, 0, None, 0)], "id long, home int, draw int, away int, yes int, no int")
+    assert sorted(map(tuple, reports.vote_shares(votes).collect())) == [(1, 50, None, 50, 2, 33, 67), (3, 12, 88, 0, 8, None, None)]
