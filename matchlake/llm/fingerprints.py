@@ -119,5 +119,6 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases: see fingerprinted. Texts count whole, however long: their words are exploded to rows, and grouped."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return fingerprinted(docs)

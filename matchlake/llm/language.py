@@ -188,6 +188,7 @@ def predict(docs: DataFrame, languages: Languages) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases: see predict and sample. Texts are parsed whole, however long, in bounded numbers of windows; copies are predicted alike."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     got = predict(docs, learn(sample(docs)))
     return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -206,5 +206,6 @@ def pack(docs: DataFrame, path: str, end: int = END, max_tokens: int = MAX_TOKEN
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases: see pack and cut. Texts are encoded whole, however long: a long one gives many pieces, which join its row by rank."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -288,5 +288,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases: see digests. Texts are encoded whole, however long, piece by piece; a piece without a break is worked on in one go."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

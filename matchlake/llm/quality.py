@@ -140,5 +140,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases: see judge. Texts are read whole, however long; a task holds one at a time beside its batch. Other columns aren't read."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source", "lang")
     return judge(docs, table(spark, sf_dir, "labels"), columns=["doc_id"]).select("row.doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")

@@ -188,5 +188,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases: see judge. Texts are read whole, however long; all counts of a text are made in one task, which holds its words."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return judge(docs, table(spark, sf_dir, "labels"))
