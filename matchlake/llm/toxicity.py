@@ -4,8 +4,9 @@ Two zstandard dictionaries are trained on a bounded sample of labelled texts: bo
 each the words and stems (beginnings of words) that its own class has far more often. A text is cut into windows of a few words, and
 each window is compressed with either dictionary; how many bytes the toxic one saves is its distance. Of stems with common endings the
 ordinary dictionary has parts too, so a stem saves a byte or two only, and once in a window: how many words begin with toxic units is
-counted besides. Compression distances alone find too few here, and the counts do most of the work: see README for figures. A logistic curve over the text's distances and counts gives the score, so that 0.5 is the calibrated threshold. It is
-fitted on each third of the sample as dictionaries trained on the other two thirds see it; the final dictionaries see the whole sample.
+counted besides. Compression distances alone find too few here, and the counts do most of the work: see README for figures. A logistic
+curve over the text's distances and counts gives the score, so that 0.5 is the calibrated threshold. It is fitted on each third of the
+sample as dictionaries trained on the other two thirds see it; the final dictionaries see the whole sample.
 
 zstandard's own trainer picks what texts of a class have in common, which is their language: trained by it on all windows of each
 class, the two dictionaries told 4 to 6 % of the held-out toxic texts at sf0.1 (1 % of the others rejected), and 24 to 59 % when it
