@@ -156,7 +156,7 @@ _ICON = lambda i: f"""'<span class="form__cell form__cell--' || CASE (h + {i}) %
 _LETTER = lambda i: f"'<span>' || CASE (h + {i}) % 3 WHEN 0 THEN 'W' WHEN 1 THEN 'L' ELSE 'D' END || '</span>'"
 _RECENT = lambda i: f"""'<div class="lastMatch__row">A ' || CAST((h + {i}) % 3 AS STRING) || ' : 1 B</div>'"""
 _SIX = lambda f: " || ".join(f(i) for i in range(6))
-#: A saved page of each match: sections of meetings, of which some lack the heading, a status, scores in one of two places or none, and
+#: A saved page of each football match: sections of meetings, of which some lack the heading, a status, scores in one of two places or none, and
 #: form as icons, letters or recent scores.
 SAVED = f"""SELECT match_id AS page_id, 'https://x.example/day' AS url, match_date, h, home_team, away_team, home_score, away_score,
  '<html><head><title>x</title><script type="application/ld+json">' || CASE WHEN h % 4 = 0 AND home_score IS NOT NULL THEN '{{"homeTeam": {{"score": ' || CAST(home_score AS STRING) || '}}, "awayTeam": {{"score": ' || CAST(away_score AS STRING) || '}}}}' ELSE '{{"name": "x"}}' END
@@ -165,7 +165,7 @@ SAVED = f"""SELECT match_id AS page_id, 'https://x.example/day' AS url, match_da
  || '<br><p>open<ul><li><a href="#/match/' || CAST(h % 50 AS STRING) || '">' || league || '</a><li><a href="/about" data-href="/detail/' || CAST(h % 7 AS STRING) || '">d</a><li><a href="/help">h</a></ul>'
  || '<div class="h2h__section"><div>Ostatnie mecze</div>{_DECOY}</div><div class="h2h__section section">' || CASE WHEN h % 10 = 0 THEN '<div>Inne</div>' ELSE '<div>Pojedynki <i>bezpośrednie</i></div>' END || {" || ".join(_meeting(i) for i in range(1, 8))} || '</div>'
  || CASE h % 3 WHEN 0 THEN '<div class="smv__homeParticipant"><div class="x__form">' || {_SIX(_ICON)} || '</div></div>' WHEN 1 THEN '<div class="y">' || {_SIX(_LETTER)} || '</div>' ELSE {_SIX(_RECENT)} END
- || '</body></html>' AS html FROM <matches> m"""
+ || '</body></html>' AS html FROM <matches> m WHERE sport = 'football'"""
 _RESULTS = """SELECT match_id AS page_id, sport, CAST(match_date AS STRING) AS day, '<b>Home ' || sport || ' ' || CAST(h % 5 AS STRING) || ' - ' || CAST(h % 3 AS STRING) || ' Guests.' || sport || '</b>; Aa 1:1 Bb; <i>FC North  ' || CAST(h % 4 AS STRING) || ':2 South-East</i>' AS html FROM <matches> m"""
 _ITEMS = "(SELECT page_id, html, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) AS position FROM pages) x"
 _TEXT = "trim(regexp_replace({}, '<[^>]*>', ' ', 'g'))"
@@ -182,30 +182,30 @@ QUERIES = {
  NULLIF(regexp_extract(regexp_extract(html, '<title>(.*?)</title>', 1), '(\d+\s*[-:]\s*\d+)', 1), '')) AS score FROM {_ITEMS}""",
     ),
     "match_links": (
-        lambda t: links(t.rows(SAVED), "https://www.example.com", leagues=("LEAGUE_1", "/detail/3", "-2/")),
-        """SELECT DISTINCT match_id AS page_id, link FROM (SELECT match_id, 'https://x.example/day#/match/' || CAST(h % 50 AS VARCHAR) AS link FROM <matches> a WHERE league = 'league_1'
- UNION ALL SELECT match_id, 'https://www.example.com/detail/3' FROM <matches> b WHERE h % 7 = 3 UNION ALL SELECT match_id, 'https://www.example.com/match/' || CAST(h AS VARCHAR) || '-2/' FROM <matches> c WHERE h % 8 >= 2) u""",
+        lambda t: links(t.spread(SAVED), "https://www.example.com", leagues=("LEAGUE_1", "/detail/3", "-2/")),
+        """SELECT DISTINCT match_id AS page_id, link FROM (SELECT match_id, 'https://x.example/day#/match/' || CAST(h % 50 AS VARCHAR) AS link FROM <matches> a WHERE sport = 'football' AND league = 'league_1'
+ UNION ALL SELECT match_id, 'https://www.example.com/detail/3' FROM <matches> b WHERE sport = 'football' AND h % 7 = 3 UNION ALL SELECT match_id, 'https://www.example.com/match/' || CAST(h AS VARCHAR) || '-2/' FROM <matches> c WHERE sport = 'football' AND h % 8 >= 2) u""",
     ),
     "past_meetings": (
-        lambda t: past_meetings(t.rows(SAVED)),
+        lambda t: past_meetings(t.spread(SAVED)),
         """SELECT page_id, nth, date, home, away, CAST(x AS VARCHAR) || '-' || CAST(y AS VARCHAR) AS score, CASE WHEN x > y THEN 'home' WHEN x < y THEN 'away' ELSE 'draw' END AS winner FROM (
  SELECT match_id AS page_id, CAST(i AS INTEGER) AS nth, '0' || CAST(i AS VARCHAR) || '.02.24' AS date, CASE WHEN i % 2 = 1 THEN home_team ELSE away_team END AS home, CASE WHEN i % 2 = 1 THEN away_team ELSE home_team END AS away,
-  (h + 3 * i) % 5 AS x, (h + 7 * i) % 4 AS y FROM <matches> m CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS v(i) WHERE i <= h % 8 AND h % 10 <> 0 AND NOT (i = 3 AND h % 3 = 0)) r
- UNION ALL SELECT match_id, 1, '31.01.24', 'Aa', 'Bb', '9-x', 'unknown' FROM <matches> n WHERE h % 10 = 0""",
+  (h + 3 * i) % 5 AS x, (h + 7 * i) % 4 AS y FROM <matches> m CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS v(i) WHERE sport = 'football' AND i <= h % 8 AND h % 10 <> 0 AND NOT (i = 3 AND h % 3 = 0)) r
+ UNION ALL SELECT match_id, 1, '31.01.24', 'Aa', 'Bb', '9-x', 'unknown' FROM <matches> n WHERE sport = 'football' AND h % 10 = 0""",
     ),
     "final_scores": (
-        lambda t: final_scores(t.rows(SAVED)),
+        lambda t: final_scores(t.spread(SAVED)),
         """SELECT page_id, status, CASE WHEN status = 'finished' THEN home_score END AS score_home, CASE WHEN status = 'finished' THEN away_score END AS score_away,
  CASE WHEN status = 'finished' THEN CASE WHEN home_score > away_score THEN 'home' WHEN home_score < away_score THEN 'away' ELSE 'draw' END END AS winner FROM (
- SELECT match_id AS page_id, CAST(home_score AS INTEGER) AS home_score, CAST(away_score AS INTEGER) AS away_score, CASE WHEN home_score IS NULL THEN 'not_finished' WHEN h % 4 = 1 THEN 'no_score' ELSE 'finished' END AS status FROM <matches> m) s""",
+ SELECT match_id AS page_id, CAST(home_score AS INTEGER) AS home_score, CAST(away_score AS INTEGER) AS away_score, CASE WHEN home_score IS NULL THEN 'not_finished' WHEN h % 4 = 1 THEN 'no_score' ELSE 'finished' END AS status FROM <matches> m WHERE sport = 'football') s""",
     ),
     "results_in_text": (
-        lambda t: results_in_text(t.rows(_RESULTS)),
+        lambda t: results_in_text(t.spread(_RESULTS)),
         """SELECT match_id AS page_id, sport || '_' || CAST(match_date AS VARCHAR) || '_' || CAST(n AS VARCHAR) AS match_id, home_team, away_team, CAST(x AS INTEGER) AS home_score, CAST(y AS INTEGER) AS away_score, CASE WHEN x > y THEN '1' WHEN x < y THEN '2' WHEN sport IN ('football', 'handball', 'hockey') THEN 'X' ELSE '2' END AS result FROM (
  SELECT match_id, sport, match_date, 0 AS n, 'Home ' || sport AS home_team, 'Guests.' || sport AS away_team, h % 5 AS x, h % 3 AS y FROM <matches> a UNION ALL SELECT match_id, sport, match_date, 2, 'FC North', 'South-East', h % 4, 2 FROM <matches> b) u""",
     ),
     "page_form": (
-        lambda t: team_form(t.rows(SAVED), "home"),
-        f"SELECT match_id AS page_id, CASE h % 3 WHEN 0 THEN {_FORM('WLD')} WHEN 1 THEN {_FORM('WLD')} ELSE {_FORM('LDW')} END AS form FROM <matches> m",
+        lambda t: team_form(t.spread(SAVED), "home"),
+        f"SELECT match_id AS page_id, CASE h % 3 WHEN 0 THEN {_FORM('WLD')} WHEN 1 THEN {_FORM('WLD')} ELSE {_FORM('LDW')} END AS form FROM <matches> m WHERE sport = 'football'",
     ),
 }

@@ -177,29 +177,29 @@ _VOTED = """SELECT match_id AS page_id, sport, CASE WHEN h % 11 = 0 THEN '' ELSE
  || CASE h % 3 WHEN 0 THEN '<p>Will both' WHEN 1 THEN '<p>both teams score?' ELSE '<p>no' END || '<i>7%</i><i>' || CAST(h % 90 AS STRING) || '%</i>' || CASE WHEN h % 4 = 0 THEN '' ELSE 'Total votes: ' || CAST(h % 900 AS STRING) END AS html FROM <matches> m"""
 QUERIES = {
     "dated_meetings": (
-        lambda t: dated_meetings(t.rows(_MEET)),
+        lambda t: dated_meetings(t.spread(_MEET)),
         """SELECT page_id, CAST(nth AS INTEGER) AS nth, date, raw_score, score, CASE who WHEN 0 THEN 'player_b' WHEN 1 THEN 'player_a' ELSE CASE score WHEN '2-0' THEN 'player_a' ELSE 'player_b' END END AS winner, surface FROM (
  SELECT match_id AS page_id, i + 1 AS nth, '0' || CAST(1 + i AS VARCHAR) || '.10.24' AS date, CASE (h + i) % 3 WHEN 0 THEN '6-4, 7-5' WHEN 1 THEN '1-2' ELSE '4:6 6:3 2:6' END AS raw_score, CASE (h + i) % 3 WHEN 0 THEN '2-0' WHEN 1 THEN '1-2' ELSE '1-2' END AS score, (h + i) % 5 AS who,
   CASE (h + i) % 4 WHEN 0 THEN 'clay' WHEN 1 THEN 'grass' WHEN 2 THEN 'hard' ELSE 'unknown' END AS surface FROM <matches> m CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i) WHERE sport = 'tennis' AND h % 4 >= i AND (h + i) % 9 <> 0) r""",
     ),
     "detailed_form": (
-        lambda t: detailed_form(t.rows(_FORM)),
+        lambda t: detailed_form(t.spread(_FORM)),
         """SELECT page_id, CAST(i + 1 AS INTEGER) AS nth, CASE q WHEN 0 THEN 'W' WHEN 1 THEN 'L' ELSE CASE r WHEN 0 THEN 'W' ELSE 'L' END END AS result, CAST(i + 1 AS VARCHAR) || '.10.25' AS date, away_team || CASE WHEN p = 0 THEN ' (' || CAST(1 + h % 99 AS VARCHAR) || ')' ELSE '' END AS opponent,
  CASE WHEN p = 0 THEN CAST(1 + h % 99 AS INTEGER) END AS opponent_rank, CASE r WHEN 0 THEN '2-0' WHEN 1 THEN '0-2' WHEN 2 THEN 'ret.' ELSE '0-2' END AS score, CASE p WHEN 0 THEN 'clay' WHEN 1 THEN 'grass' END AS surface FROM (
  SELECT match_id AS page_id, h, away_team, i, (h + i) % 4 AS q, (h + i) % 3 AS p, (h + i) % 5 AS r FROM <matches> m CROSS JOIN (SELECT unnest(range(10)) AS i) v WHERE sport = 'tennis') x WHERE q < 2 OR r <> 2""",
     ),
     "page_votes": (
-        lambda t: page_votes(t.rows(_VOTED)),
+        lambda t: page_votes(t.spread(_VOTED)),
         """SELECT match_id AS page_id, CASE WHEN n >= 2 THEN p[1] END AS home, CASE WHEN n >= 3 AND d THEN p[2] END AS draw, CASE WHEN n >= 3 AND d THEN p[3] WHEN n >= 2 THEN p[2] END AS away, CASE WHEN h % 11 <> 0 AND h % 3 < 2 THEN 7 END AS yes, CASE WHEN h % 11 <> 0 AND h % 3 < 2 THEN CAST(h % 90 AS INTEGER) END AS no, CASE WHEN h % 4 = 0 THEN 0 ELSE h % 900 END AS votes FROM (
  SELECT match_id, h, sport IN ('football', 'handball', 'hockey') AS d, CASE WHEN h % 11 = 0 THEN [] ELSE list_concat(list_concat(list_concat([CAST(h % 60 AS INTEGER)], CASE WHEN h % 5 = 0 THEN [] ELSE [CAST(h % 30 AS INTEGER)] END), CASE WHEN h % 5 < 2 THEN [] ELSE [CAST(h % 40 AS INTEGER)] END), [7, CAST(h % 90 AS INTEGER)]) END AS p, len(p) AS n FROM <matches> m) x""",
     ),
     "player_rankings": (
-        lambda t: rankings(t.rows(PLAYER_PAGES)),
+        lambda t: rankings(t.spread(PLAYER_PAGES)),
         """SELECT match_id AS page_id, CASE WHEN h % 2 = 0 THEN home_team ELSE away_team END AS player, CAST(CASE h % 5 WHEN 0 THEN 1 + h % 90 WHEN 1 THEN CASE WHEN h % 2 = 0 THEN 1 + h % 80 ELSE 100 + h % 80 END WHEN 2 THEN CASE WHEN h % 2 = 0 THEN 1 + h % 70 ELSE 100 + h % 70 END
  WHEN 3 THEN 1 + h % 60 ELSE 1 + h % 50 END AS INTEGER) AS ranking FROM <matches> m WHERE sport = 'tennis'""",
     ),
     "page_odds": (
-        lambda t: page_odds(t.rows(PLAYER_PAGES)),
+        lambda t: page_odds(t.spread(PLAYER_PAGES)),
         """SELECT match_id AS page_id, CASE h % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN CAST(CAST((110 + h % 300) / 100.0 AS DECIMAL(4,2)) AS DOUBLE) END AS home_odds, CASE WHEN h % 3 = 1 THEN 2.25::DOUBLE END AS away_odds FROM <matches> m WHERE sport = 'tennis'""",
     ),
     "surface_rates": (

@@ -65,6 +65,11 @@ class Tables:
         """SQL over <matches>, <predictions>, <bets> and <as_of>."""
         return self._sql(filled(sql))
 
+    def spread(self, sql: str) -> DataFrame:
+        """SQL over <matches> alone, dealt over all cores first: they come from one small file, and what is made of each is large."""
+        text = sql.replace("{", "{{").replace("}", "}}").replace("<matches>", "{dealt}")
+        return self.spark.sql(text, dealt=self.matches.repartition(self.spark.sparkContext.defaultParallelism))
+
     @cached_property
     def events(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/events.parquet")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """tag: "#text" for text. at: its place; till: the place behind its last descendant."""
 
