@@ -168,7 +168,7 @@ QUERIES = {
     ),
     "odds_answers": (
         lambda t: quotes(t.rows(_ANSWERS)),
-        """SELECT match_id, 'bet365' AS bookmaker, CASE WHEN h % 7 <> 0 THEN CAST(1 + (h % 300) / 100.0 AS DOUBLE) END AS home_odds, CASE WHEN sport IN ('football', 'handball', 'hockey') THEN 3.25::DOUBLE END AS draw_odds, CASE WHEN h % 5 > 1 THEN 2.5::DOUBLE END AS away_odds
+        """SELECT match_id, 'bet365' AS bookmaker, CASE WHEN h % 7 <> 0 THEN CAST(CAST(1 + (h % 300) / 100.0 AS DECIMAL(6,2)) AS DOUBLE) END AS home_odds, CASE WHEN sport IN ('football', 'handball', 'hockey') THEN 3.25::DOUBLE END AS draw_odds, CASE WHEN h % 5 > 1 THEN 2.5::DOUBLE END AS away_odds
  FROM <matches> m WHERE h % 11 <> 0 AND (h % 7 <> 0 OR h % 5 > 1)""",
     ),
     "odds_of_markets": (
