@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.operators import accuracy, bets, calibration, documents, entities, feeds, filters, form, listings, momentum, names, odds, pages, picks, players, reports, staking, tennis, texts, views
+from matchlake.operators import accuracy, bets, calibration, documents, entities, feeds, filters, form, listings, momentum, names, odds, pages, picks, players, predicted, reports, staking, tennis, texts, views
 from matchlake.sources import derived
 from matchlake.streaming import status
 
 #: name -> (query over the derived tables, SQL with <matches>, <predictions> and <bets> for them)
-FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, documents.QUERIES, entities.QUERIES, feeds.QUERIES, filters.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, names.QUERIES, odds.QUERIES, pages.QUERIES, picks.QUERIES, players.QUERIES, reports.QUERIES, staking.QUERIES, status.QUERIES, tennis.QUERIES, texts.QUERIES, views.QUERIES)
+FAMILIES = (accuracy.QUERIES, bets.QUERIES, calibration.QUERIES, documents.QUERIES, entities.QUERIES, feeds.QUERIES, filters.QUERIES, form.QUERIES, listings.QUERIES, momentum.QUERIES, names.QUERIES, odds.QUERIES, pages.QUERIES, picks.QUERIES, players.QUERIES, predicted.QUERIES, reports.QUERIES, staking.QUERIES, status.QUERIES, tennis.QUERIES, texts.QUERIES, views.QUERIES)
 
 
 def _query(build: Callable[[derived.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
