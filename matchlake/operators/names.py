@@ -71,6 +71,38 @@ def light(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
+# The marks that the short rules know, of which the minimal one leaves the last; what goes at a name's end, and what goes
+# behind a blank anywhere.
+FEW_MARKED, FEW_PLAIN = "ąćęłńóśźżäöüéèáàíúñçščžřê", "acelnoszzaoueeaaiuncsczre"
+AGES, CLUBS = ("u21", "u19", "u18", "b", "ii", "iii", "iv"), ("FC", "CF", "SC", "IF", "BK", "IK", "AIK", "DIF", r"U\d+", "II", "B")
+
+
+def _short(name: Column | str, known: int, ends: str = "") -> Column:
+    low = F.translate(F.lower(F.trim(name)), FEW_MARKED[:known], FEW_PLAIN[:known])
+    low = F.regexp_replace(F.replace(low, F.lit("ß"), F.lit("ss")), ends, "") if ends else F.replace(low, F.lit("ß"), F.lit("ss"))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", ""), r"\s+", " ")), F.lit(""))
+
+
+def minimal(name: Column | str) -> Column:
+    """A name in lower case without the marks of FEW_MARKED, and without all but plain letters, digits and blanks. Null: empty."""
+    return _short(name, len(FEW_MARKED) - 1)
+
+
+def without_end(name: Column | str) -> Column:
+    """As minimal, with all of FEW_MARKED, and without one age or team number at the end. Null: empty."""
+    return _short(name, len(FEW_MARKED), rf"\s+({'|'.join(AGES)})\s*$")
+
+
+def without_club(name: Column | str) -> Column:
+    """A name in lower case without clubs' words behind a blank, and without all but letters of any script, digits, _ and blanks."""
+    return F.coalesce(F.regexp_replace(F.trim(F.lower(F.regexp_replace(name, rf"(?iU)\s+({'|'.join(CLUBS)})\b", ""))), r"(?U)[^\w\s]", ""), F.lit(""))
+
+
+def bare_letters(name: Column | str) -> Column:
+    """What plain letters and digits a name in lower case has; letters with marks go. Null: empty."""
+    return F.coalesce(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), F.lit(""))
+
+
 def once_in_order(words: list[str], pattern: str) -> re.Pattern:
     """Of a list whose words go one after another, each once, the optional groups of one expression."""
     return re.compile("".join(pattern.format(re.escape(w.replace("_", " "))) for w in words))
@@ -229,6 +261,39 @@ def best_in_list(names: DataFrame, listed: DataFrame, least: float = 0.5) -> Dat
     return met.withColumn("n", F.row_number().over(best)).where("n = 1").select("name", "match", F.col("like").alias("likeness"))
 
 
+def by_one_side(left: DataFrame, events: DataFrame, known: float = 0.5, least: float = 0.30) -> DataFrame:
+    """(left_id, event_id): of each of left(left_id, sport, match_date, home_team, away_team) the event of events(event_id, ...) that one
+    side leads to: its home team is looked up among the home teams of the sport's events, alike to `known` (see best_in_list), and of
+    that team's events with a rival like the other side, to `least`, the first on or after the day counts, else the last before it, then
+    the smallest id; where that finds none, the guests are looked up so among the guests. Rows with a null or empty name, or that lead to
+    none, are left out.
+
+    Distinct names are scored once. The events of each pair of a team and an asked rival and the rows that ask it lie in one order by
+    date, and windows take the nearest, so no row meets all events of its team."""
+    plain = lambda c: light(F.col(c))
+    sides = lambda df, i: df.select(i, "sport", "match_date", plain("home_team").alias("home"), plain("away_team").alias("away"))
+    l, e = sides(left, "left_id"), sides(events, "event_id")
+    listed = e.select("sport", F.explode(F.array("home", "away")).alias("name"))
+    asked = l.select("sport", F.explode(F.array("home", "away")).alias("name"))
+    near = scored(proposed(asked, listed, known), "tips").where(F.col("like") >= known)
+    best = near.groupBy("sport", "a").agg(F.min_by("b", F.struct(-F.col("like"), "b")).alias("team")).persist()  # read twice
+    out = None
+    for own, other in (("home", "away"), ("away", "home")):
+        rest = l if out is None else l.join(out.select("left_id"), "left_id", "left_anti")
+        asks = rest.where((F.col("home") != "") & (F.col("away") != "")).join(best.withColumnRenamed("a", own), ["sport", own]).select("left_id", "sport", "match_date", "team", F.col(other).alias("rival"))
+        held = e.select("event_id", "sport", "match_date", F.col(own).alias("team"), F.col(other).alias("met"))
+        pairs = asks.select("sport", "team", "rival").distinct().join(held.select("sport", "team", "met").distinct(), ["sport", "team"])
+        alike = pairs.join(scored(pairs.select(F.col("rival").alias("a"), F.col("met").alias("b")).distinct(), "loose").where(F.col("like") >= least).select(F.col("a").alias("rival"), F.col("b").alias("met")), ["rival", "met"])
+        none = lambda kind: F.lit(None).cast(kind)
+        events_of = held.join(alike, ["sport", "team", "met"]).groupBy("sport", "team", "rival", "match_date").agg(F.min("event_id").alias("event_id"))
+        line = events_of.select("sport", "team", "rival", "match_date", "event_id", none(l.schema["left_id"].dataType).alias("left_id")).unionByName(asks.withColumn("event_id", none(e.schema["event_id"].dataType)))
+        nearest = lambda day: F.last("event_id", ignorenulls=True).over(Window.partitionBy("sport", "team", "rival").orderBy(day).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        later, before = nearest(F.desc("match_date")), nearest(F.asc("match_date"))  # both grow from their start: none is read anew for each row
+        got = line.withColumn("event_id", F.coalesce(later, before)).where("left_id IS NOT NULL AND event_id IS NOT NULL").select("left_id", "event_id").persist()  # read twice
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def by_tokens(matches: DataFrame, links: DataFrame, keys: tuple[str, ...], longer_than: int = 3) -> DataFrame:
     """(match_id, link, tokens): of each of matches(match_id, home_team, away_team, keys...) the one of links(link, keys...) with its
     keys that holds most of its names' words, in their thorough forms, with more than so many letters, at least one of either side; ties
@@ -275,6 +340,9 @@ def _sides(t) -> tuple[DataFrame, DataFrame]:
     return reported(t.matches).withColumnRenamed("result_id", "left_id"), t.predictions.withColumnRenamed("id", "right_id")
 
 
+_NAMED = "SELECT match_id, home_team || CASE h % 6 WHEN 0 THEN ' FC' WHEN 1 THEN ' U19' WHEN 2 THEN '  II' WHEN 3 THEN ' B.' WHEN 4 THEN ' if x' ELSE ' b' END AS name FROM <matches> m"
+
+
 def _links(t) -> DataFrame:
     """A page address of each match, with its teams' names."""
     return t.matches.select("match_date", "sport", F.concat(F.lit("https://x.example/Match/"), F.regexp_replace(folded(F.col("home_team")), " ", "-"), F.lit("-"), F.regexp_replace(folded(F.col("away_team")), " ", ""), F.lit("/"), F.col("sport")).alias("link"))
@@ -287,9 +355,16 @@ def _feeds(t) -> tuple[DataFrame, list[DataFrame]]:
     return asked, [feed("< 2", F.concat(F.lit("FC "), F.upper("home_team"))), feed("> 0", F.concat("home_team", F.lit(" II")))]
 
 
+_FEW = f"translate(low, '{FEW_MARKED}', '{FEW_PLAIN}')"
 _CONTAINS = "f.match_date = p.match_date AND f.sport = p.sport AND contains(lower(f.home_team), lower(p.home_team)) AND f.actual_result IS NOT NULL"
 QUERIES = {
     "events_matched": (lambda t: joined_twice(*_sides(t)), None),
+    "events_by_one_side": (lambda t: by_one_side(reported(t.matches).withColumnRenamed("result_id", "left_id"), t.predictions.withColumnRenamed("id", "event_id")), None),
+    "plain_forms": (
+        lambda t: t.rows(_NAMED).select("match_id", minimal("name").alias("minimal"), without_end("name").alias("without_end"), without_club("name").alias("without_club"), bare_letters("name").alias("bare_letters")),
+        rf"""SELECT match_id, regexp_replace(regexp_replace({_FEW}, '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g') AS minimal, regexp_replace(regexp_replace(regexp_replace({_FEW}, '\s+(u19|b|ii)$', ''), '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g') AS without_end,
+ trim(regexp_replace(regexp_replace(low, '\s+(fc|cf|sc|if|bk|ik|aik|dif|u[0-9]+|ii|b)\b', '', 'g'), '\.', '', 'g')) AS without_club, regexp_replace(low, '[^a-z0-9]', '', 'g') AS bare_letters FROM (SELECT match_id, lower(name) AS low FROM ({_NAMED}) n) x""",
+    ),
     "tips_matched": (lambda t: joined(*_sides(t), TIPS, "tips"), None),
     "links_by_tokens": (lambda t: by_tokens(t.matches, _links(t), ("match_date", "sport")), None),
     "best_names_in_list": (lambda t: best_in_list(reported(t.matches).select(F.col("home_team").alias("name")), t.matches.select(F.col("away_team").alias("name"))), None),
