@@ -1,11 +1,12 @@
 """5. Personal data replaced by surrogates. DataFrame functions only.
 
-Regular expressions find mail addresses, secrets, IP addresses, card, identity and phone numbers, and names after a title; a full name
-found so is found without a title too, in the same text. What a mention means (its value: digits without their separators, a mail
+Regular expressions find mail addresses, secrets, IP addresses of both kinds, account (IBAN), card, identity and phone numbers, and names
+after a title; a full name found so is found without a title too, in the same text. Account and card numbers count only with a right
+check sum. What a mention means (its value: digits without their separators, a mail
 address or a name without case, a secret as it is) is one entity, and all mentions of an entity get one surrogate.
 
 A surrogate is the value under a keyed permutation of its shape: digits stay digits, letters stay letters of their script, case and
-kind (vowels, consonants), octets valid, a card's check sum right, a phone's country code, a secret's prefix and a domain's last part as
+kind (vowels, consonants), octets valid, check sums right, an account's country, a phone's country code, a secret's prefix and a domain's last part as
 they were. A permutation gives distinct entities of a shape distinct surrogates, however crowded the shape is, with no draws to repeat;
 it has no fixed point, so nothing stands as it was. A given name's surrogate ends as names of its gender do. The gender is the title's;
 where that says none, the one that most mentions of the same full name in all documents have, else of the same given name.
@@ -27,7 +28,7 @@ KEY = "matchlake"
 #: Rounds of the permutation's mixing, before and after its shift.
 ROUNDS = 4
 
-FEMALE, MALE, NEUTRAL = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Señora", "г-жа", "Госпожа"), ("Mr", "Herr", "Sr", "Señor", "г-н", "Господин"), ("Dr", "Prof")
+FEMALE, MALE, NEUTRAL = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Mademoiselle", "Sra", "Señora", "Doña", "г-жа", "Госпожа"), ("Mr", "Herr", r"M(?=\.)", "Monsieur", "Sr", "Señor", "Don", "г-н", "Господин"), ("Dr", "Prof")
 #: How surrogates of given names end, by script and gender.
 ENDINGS = {"latin": {"f": "ina", "m": "ard", "n": "is"}, "cyrillic": {"f": "ина", "m": "слав", "n": "ис"}}
 #: Letters that stand for one another.
@@ -45,18 +46,21 @@ SIZES = [len(c) for c in CLASSES for _ in c]
 TITLE = r"(?=[MFSDPHгГ])(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + r")\.? "
 NAME = r"\p{Lu}[\p{L}'-]+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}(?::{GROUP}){{1,5}}|[23][0-9A-Fa-f]{{3}}|[Ff][CcDdEe][0-9A-Fa-f]{{2}})::(?:{GROUP}(?::{GROUP}){{0,4}})?)(?![0-9A-Za-z:])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[0-9A-Z]{11,30}| [0-9A-Z]{4}(?: (?=[A-Z]{0,3}\d)[0-9A-Z]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[0-9A-Z]{1,3})?)(?![0-9A-Za-z])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\.?\d)",
     "identity": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d.])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\d-]|\.\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE}{NAME}(?: {NAME})?",
 }
 ANY = "|".join(PATTERNS.values())
 #: Every pattern's matches have one of these, which are found faster.
-HINT = rf"[0-9@]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]|gh[opsu]_|sk-|{TITLE}\p{{Lu}}"
+HINT = rf"[0-9@]|[A-Fa-f]:[:A-Fa-f]|[a-f]{{32}}|[A-F]{{32}}|AKIA[A-Z]|gh[opsu]_|sk-|{TITLE}\p{{Lu}}"
 PREFIX = r"^(?:AKIA|gh[opsu]_|sk-)"
 PERSON = rf"^{TITLE}{NAME} {NAME}$"
 
@@ -136,12 +140,25 @@ def check_sum(numbers: Column) -> Column:
     return F.aggregate(F.transform(chars(F.reverse(numbers)), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") * 2 / 10).cast("int"))), F.lit(0), lambda a, x: a + x) % 10
 
 
+def mod_97(x: Column) -> Column:
+    """A string of digits and capitals, which count from 10 for A, modulo 97."""
+    return F.aggregate(chars(x), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
+def compact(mention: Column) -> Column:
+    return F.replace(mention, F.lit(" "), F.lit(""))
+
+
 def kind_of(mention: Column) -> Column:
-    """Which pattern a mention matches, the first first; null for a card number whose check sum is wrong: that is no card."""
+    """Which pattern a mention matches, the first first; null for a card or account number whose check sum is wrong: that is none."""
     out = F.lit("name")
     for kind in reversed(list(PATTERNS)[:-1]):
         at = PATTERNS[kind].replace(r"(?<![\d.])", "").replace(r"(?<!\d)", "").replace(r"(?<![\d-])", "").replace(r"(?<![\p{L}\p{N}._%+-])", "")
-        own = F.when(check_sum(digits(mention)) == 0, F.lit(kind)) if kind == "card" else F.lit(kind)
+        own = F.lit(kind)
+        if kind == "card":
+            own = F.when(check_sum(digits(mention)) == 0, own)
+        if kind == "iban":
+            own = F.when(let(compact(mention), lambda c: mod_97(F.concat(F.substring(c, 5, 99), F.substring(c, 1, 4)))) == 1, own)
         out = F.when(mention.rlike(f"^(?:{at})$"), own).otherwise(out)
     return out
 
@@ -179,6 +196,8 @@ def surrogate(mention: Column, key: str, genders: Column) -> Column:
             F.when(kind == "email", part(none, cut(low, F.lit(1), F.length(low) - domain_end), cut(low, F.length(low) - domain_end + 1, domain_end), salt("email")))
             .when(kind == "secret", part(prefix, F.when(hexadecimal, low).otherwise(F.regexp_replace(mention, PREFIX, "")), none, F.when(hexadecimal, salt("hex")).otherwise(F.concat(salt("secret"), prefix)), hexadecimal))
             .when(kind == "card", part(none, cut(numbers, F.lit(1), F.length(numbers) - 1), none, salt("card")))
+            .when(kind == "ipv6", part(none, F.regexp_replace(low, ":", ""), none, salt("ipv6"), F.lit(True)))
+            .when(kind == "iban", part(cut(mention, F.lit(1), F.lit(2)), cut(compact(mention), F.lit(5), F.lit(99)), none, F.concat(salt("iban"), cut(mention, F.lit(1), F.lit(2)))))
             .when(kind == "phone", part(cut(numbers, F.lit(1), country), cut(numbers, country + 1, F.lit(10)), none, F.concat(salt("phone"), cut(numbers, F.lit(1), country))))
             .otherwise(part(none, numbers, none, salt("identity")))
         )
@@ -188,9 +207,15 @@ def surrogate(mention: Column, key: str, genders: Column) -> Column:
         """The cores in the mention's own format: title, separators, case, check sum."""
         core = cores[0]
         core = F.when(kind == "card", F.concat(core, F.pmod(-check_sum(F.concat(core, F.lit("0"))), F.lit(10)).cast("string"))).otherwise(core)
-        refilled = let(core, lambda k: F.array_join(F.transform(chars(mention), lambda c, i: F.when(c.rlike("[0-9]"), cut(k, F.length(digits(cut(mention, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), ""))
+        rest = cut(core, F.lit(3), F.lit(99))
+        core = F.when(kind == "iban", F.concat(cut(core, F.lit(1), F.lit(2)), F.lpad((98 - mod_97(F.concat(rest, cut(core, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0"), rest)).otherwise(core)
+
+        def refilled(core: Column, kept: str) -> Column:
+            """The mention with the core's characters, in order, in the places of those of a class."""
+            return let(core, lambda k: F.array_join(F.transform(chars(mention), lambda c, i: F.when(c.rlike(f"[{kept}]"), cut(k, F.length(F.regexp_replace(cut(mention, F.lit(1), i), f"[^{kept}]", "")) + 1, F.lit(1))).otherwise(c)), ""))
+
         name = F.concat(F.regexp_extract(mention, f"^{TITLE}", 0), F.array_join(F.zip_with(cores, F.split(untitled(mention), " "), cased), " "))
-        return F.when(kind == "email", cased(core, mention)).when(kind == "secret", F.when(mention.rlike("^[0-9A-F]+$"), F.upper(core)).otherwise(core)).when(kind == "name", name).otherwise(refilled)
+        return F.when(kind == "email", cased(core, mention)).when(kind == "secret", F.when(mention.rlike("^[0-9A-F]+$"), F.upper(core)).otherwise(core)).when(kind == "name", name).when(kind == "ipv6", refilled(F.when(mention.rlike("[A-F]"), F.upper(core)).otherwise(core), "0-9A-Fa-f")).when(kind == "iban", refilled(core, "0-9A-Z")).otherwise(refilled(core, "0-9"))
 
     octets = F.transform(F.split(mention, r"\."), lambda o: o.cast("int"))
     free = lambda o: (o > 0) & (o < 255)
