@@ -16,6 +16,7 @@ chose among the words with toxic units only.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,22 +189,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, per_class: int = PER_CLASS) -> Model:
-    """Learn from labelled rows outside the held-out fold. Without any, all texts score 0.5 - just below, so nothing is rejected."""
-    some = labelled(docs, labels, "toxic", folds, held_out, per_class)
-    some = some.groupBy("doc_id", "label").agg(F.min(parts_of(F.coalesce("text", F.lit("")), F.col("doc_id"), PARTS, CHARS)).alias("text"))
-    rows = sorted((r.doc_id, r.text, r.label) for r in some.collect())  # 2 * per_class rows of PARTS * CHARS characters at most
-    texts, y = [words_of(t) for _, t, _ in rows], np.array([x for *_, x in rows], float)
+def fit(rows: list[tuple[int, list[bytes], int]], share: float) -> Model:
+    """The model of (doc_id, words, label) rows; share: of toxic texts among the labels. Without rows, all texts score 0.5 - just below,
+    so nothing is rejected."""
+    texts, y = [w for _, w, _ in rows], np.array([x for *_, x in rows], float)
 
     sample = Sample(texts, y == 1)
     every = np.arange(len(sample.at))
     learned = dictionaries(sample, every)
     if not len(every):
         return Model(*learned, (0.0,) * 5, (1.0,) * 5, (0.0,) * 5 + (-1e-6,))
-    known = labels.where("toxic in (0, 1)")
-    if held_out is not None:
-        known = known.where(fold("doc_id", folds) != held_out)
-    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     x, y = np.zeros((len(every), 5)), y[sample.at]
     part = np.array([zlib.crc32(b"%d" % rows[i][0]) % THIRDS for i in sample.at])
     for k in range(THIRDS):  # as dictionaries see texts that they weren't trained on
@@ -217,6 +213,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | No
     return Model(*learned, tuple(centre), tuple(scale), tuple(w))
 
 
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int | None = 0, per_class: int = PER_CLASS) -> Model:
+    """Learn from labelled rows outside the held-out fold. One task fits the model to the sample, so that the driver holds no texts."""
+    some = labelled(docs, labels, "toxic", folds, held_out, per_class)
+    some = some.groupBy("doc_id", "label").agg(F.min(parts_of(F.coalesce("text", F.lit("")), F.col("doc_id"), PARTS, CHARS)).alias("text"))
+    known = labels.where("toxic in (0, 1)")
+    if held_out is not None:
+        known = known.where(fold("doc_id", folds) != held_out)
+    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(i, words_of(t), y) for batch in batches for i, t, y in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(rows), share))], pa.binary())], ["model"])
+
+    # 2 * per_class rows of PARTS * CHARS characters at most
+    learned = some.select("doc_id", "text", "label").coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(learned.model) if learned else fit([], 0.5)
+
+
 def score(model: Model, text: str | None) -> float:
     x = (np.array(features(words_of(text or ""), model.toxic, model.ordinary, model.units)) - model.centre) / model.scale
     return float(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30))))

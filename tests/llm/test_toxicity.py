@@ -106,3 +106,12 @@ def test_labels_of_absent_documents_take_no_places(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     absent = spark.createDataFrame([(10_000 + i, i % 2) for i in range(3000)], "doc_id long, toxic int")
     assert X.train(df, absent.unionByName(df.select("doc_id", "toxic")), per_class=60).toxic == X.train(df, df, per_class=60).toxic
+
+
+def test_texts_do_not_pass_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame(made(200), "doc_id long, text string, toxic int")
+    kind, reached = type(df), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: reached.extend(rows := collect(self)) or rows)  # first() and take() call it
+    X.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert reached and len(reached) <= 10 and not any("text" in r.asDict() for r in reached)
