@@ -70,6 +70,18 @@ def test_a_busy_day_shuffles_no_pairs(spark):
         assert len(got) == 800 and {i: got[i] for i in range(60)} == brute(some, right.collect(), rules, {"tips": names.like_tips, "loose": names.like_loose}[how], light)
 
 
+def test_a_busy_day_joined_twice(spark):
+    name = lambda i, end="": F.concat(F.lit("team "), F.char(97 + i % 7), F.char(97 + i % 11), F.lit(end))
+    rows = lambda n, i, *names_: spark.range(n).select(F.col("id").alias(i), F.lit("football").alias("sport"), F.expr("DATE '2024-01-01'").alias("match_date"), names_[0].alias("home_team"), names_[1].alias("away_team"))
+    left = rows(800, "left_id", F.when(F.col("id") % 5 == 0, F.lit("qvk")).otherwise(name(F.col("id"), "x")), name(F.col("id") * 5 + 3))
+    right, got = rows(800, "right_id", name(F.col("id")), name(F.col("id") * 5 + 3, "y")), {}
+    assert shuffled(spark, lambda: got.update((r.left_id, r.right_id) for r in names.joined_twice(left, right).collect())) < 24 * 1600
+    some, all_right = [r for r in left.collect() if r.left_id < 40], right.collect()
+    light = {n: n for r in [*some, *all_right] for n in (r.home_team, r.away_team)}
+    want = brute(some, all_right, names.RELAXED, names.like_loose, light) | brute(some, all_right, names.LOOSE, names.like_loose, light)
+    assert {i: m for i, m in got.items() if i < 40} == want and len(got) > 600
+
+
 def test_joins_of_odd_rows_in_short_lists(spark, monkeypatch):
     monkeypatch.setattr(names, "ASKED", 2)
     monkeypatch.setattr(names, "HELD", 3)
