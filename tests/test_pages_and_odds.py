@@ -86,3 +86,25 @@ def test_plans_have_no_nested_loop(spark, sf_dir, name):
 
     plan = odds.QUERIES[name][0](derived.Tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def told(page):
+    return [(x.at, x.tag, x.attrs, x.own, x.till, x.classes) for x in page.page]
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them(spark, sf_dir, monkeypatch):
+    import random
+
+    from matchlake.operators import predicted
+    from matchlake.sources import derived, html
+
+    bits = ["<div>", "</div>", '<div class="a b">', '<span class="x" class="y">', "</span>", "<br>", "<br/>", "<P>", "</P>", "text", " ", "&amp;", "&am", "&", "<", "a<b", ">", '<a href="x>y">', '<a b="1"\tc="&lt;q">', "<i b='2'>", "<u x>"]
+    bits += ["<!-- c -->", "<!doctype html>", "<script>", "</script>", "<td", "</", "</ div>", "</div >", "é", "\x00", '"', "=", '<a b="">', "\xa0", "<1>", "<x:y>", "\n", "&#65", "<title>", "</title>", '<img  src="&" >', "\x85", '<a\x0bb="1">', "<İ>", "<li " + 'a="b" ' * 60 + ">"]
+    r, plain = random.Random(3), 0
+    made = ["".join(r.choice(bits) for _ in range(r.randrange(9))) for _ in range(20000)]
+    own = [x.html for x in derived.Tables(spark, sf_dir).rows(predicted.PREDICTED).limit(200).collect()]
+    got = [told(html.page_of(h)) for h in made + own]
+    plain = [html._read_plain(h) is not None for h in made + own]
+    monkeypatch.setattr(html, "_read_plain", lambda h: None)
+    assert got == [told(html.page_of(h)) for h in made + own]
+    assert 2000 < sum(plain) < 20000 and all(plain[-len(own) :])  # the queries' own pages need no parser
