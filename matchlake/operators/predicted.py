@@ -45,24 +45,28 @@ def _first(texts: Column, of) -> Column:
 
 
 def _rows(pages: DataFrame) -> DataFrame:
-    """(page_id, sport, nth, home, away, ...) of each row of a page that names both sides: its fields with their classes and texts, and
+    """(page_id, sport, nth, home_team, away_team, ...) of each row of a page that names both sides: its fields' classes and texts, and
     what its own places for chances, pick, exact score and average goals hold."""
 
     def rule(page: Node) -> Iterator[tuple]:
         rows = page.all("div", having="rcnt") or [x for x in page.all("tr") if {"tr_0", "tr_1"} & set(x.classes)]
         for nth, row in enumerate(rows, 1):
-            sides = [row.first("span", having=f"{s}Team") for s in ("home", "away")]
+            spans, divs = row.all("span"), row.all("div")
+            first = lambda found, c: next((x for x in found if c in x.classes), None)
+            sides = [first(spans, f"{s}Team") for s in ("home", "away")]
             inner = [next((x for x in s.all("span") if x.attrs.get("itemprop") == "name"), None) if s else None for s in sides]
             home, away = (x.text() if x else "" for x in (inner if all(inner) else sides))
-            chances, pick, exact, average = row.first("div", having="fprc"), row.first("span", having="forepr"), row.first("div", having="ex_sc"), row.first("div", having="avg_sc")
+            if not (home and away):
+                continue
+            chances, pick, exact, average = first(divs, "fprc"), first(spans, "forepr"), first(divs, "ex_sc"), first(divs, "avg_sc")
             lines = [x.own for x in exact.all("#text")] if exact else None
             if lines is not None and not (exact.first("br") and len(lines) == 2):
                 lines = ["".join(lines)]
-            fields = [{"c": " ".join(x.classes), "t": x.text()} for x in row.all("span") if x.classes]
-            yield nth, home, away, fields, [x.text() for x in chances.all("span")] if chances else [], pick.text() if pick else None, "-".join(lines) if lines else None, average.text() if average else None
+            fields = [x for x in spans if x.classes]
+            yield nth, home, away, [" ".join(x.classes) for x in fields], [x.text() for x in fields], [x.text() for x in chances.all("span")] if chances else [], pick.text() if pick else None, "-".join(lines) if lines else None, average.text() if average else None
 
-    schema = "nth int, home_team string, away_team string, fields array<struct<c:string,t:string>>, chances array<string>, said string, exact_score string, average string"
-    return picked(pages, ["page_id", "sport"], schema, rule).where("home_team <> '' AND away_team <> ''")
+    schema = "nth int, home_team string, away_team string, classes array<string>, texts array<string>, chances array<string>, said string, exact_score string, average string"
+    return picked(pages, ["page_id", "sport"], schema, rule)
 
 
 def prediction_rows(pages: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def prediction_rows(pages: DataFrame) -> DataFrame:
     field that is a pick, the first chance that is a number, the first line of goals, and what the last field about both sides' goals
     says; null where no field tells. Rows without both names are left out; null, empty and broken pages have those that the parser finds."""
     rows = _rows(pages)
-    texts = lambda words: F.transform(F.filter("fields", lambda f: f["c"].rlike(words)), lambda f: f["t"])
+    texts = lambda words: F.filter("texts", lambda t, i: F.get("classes", i).rlike(words))
     names = F.create_map(*(F.lit(x) for pair in PICKS.items() for x in pair))
     pick = _first(texts(PICK_FIELDS), lambda t: F.try_element_at(names, t))
     chance = _first(texts(CHANCE_FIELDS), lambda t: _decimal(F.replace(t, F.lit("%"), F.lit(""))))

@@ -20,6 +20,17 @@ def test_prediction_rows(spark):
     assert got == [(0, 1, "A", "B", "12", 1.0, None, None), (0, 3, "Ac", "B", None, None, ".5", "Yes"), (1, 1, "C", "D", None, None, None, None)]
 
 
+def test_rows_by_the_parser_and_without_it(spark, sf_dir):
+    from matchlake.sources import derived, html
+
+    own = derived.Tables(spark, sf_dir).rows(predicted.PREDICTED).where("page_id < 200").cache()
+    parsed = own.selectExpr("page_id", "sport", "'<!-- read by the parser -->' || html AS html")
+    assert html._read_plain("<!-- a --><b></b>") is None and all(html._read_plain(r.html) for r in own.collect())
+    for query in (predicted.prediction_rows, predicted.row_details):
+        rows = sorted(map(str, query(own).collect()))
+        assert rows == sorted(map(str, query(parsed).collect())) and len(rows) > 200
+
+
 def test_row_details(spark):
     chances = lambda *n: f'<div class="fprc">{"".join(f"<span>{x}</span>" for x in n)}</div>'
     html = row(chances(30, 40, 40) + '<div class="ex_sc">0<br>2</div><div class="avg_sc">2.5</div>') + row(chances(50, 50)) + row(chances(50, "x", 9) + '<span class="forepr">2</span><div class="ex_sc">3 : 1</div><div class="avg_sc">2.51</div>') + row(chances(7))
